@@ -9,6 +9,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,7 @@ class Rule:
     fix: str | Callable[[], Column] | None = None
     ruleset: str = "core"
     fixable: bool | Callable[[], Column] = False
+    anchors: tuple[str, ...] | None = None
     on_broken: bool = False
 
 
@@ -46,15 +48,13 @@ def _text(value) -> Column:
 
 def _unjoined() -> Column:
     """A join or a FROM comma with neither ON nor USING; named joins and laterals are fine."""
-    sideways = c("n1").isin("LATERAL", "UNNEST")
-    implied = F.greatest(*[F.coalesce(c(f"p{i}").isin("NATURAL", "ASOF", "POSITIONAL"), F.lit(False)) for i in (1, 2, 3)])
-    bare = (c("utok") == "JOIN") & c("is_clause") & ~implied & (F.coalesce(c("join_next"), F.lit("X")) == "X")
+    bare = (c("utok") == "JOIN") & c("is_clause") & ~c("named_join") & (F.coalesce(c("join_next"), F.lit("X")) == "X")
     comma = (c("tok") == ",") & c("in_from") & F.coalesce(c("grp.kind") != "group", F.lit(True))
-    return (bare | comma) & ~sideways
+    return (bare | comma) & ~c("sideways")
 
 
 def _cross() -> Column:
-    return (c("utok") == "JOIN") & c("is_clause") & (c("p1") == "CROSS") & ~c("n1").isin("LATERAL", "UNNEST")
+    return c("cross_join") & c("is_clause") & ~c("sideways")
 
 
 def cartesian() -> Column:
@@ -87,13 +87,13 @@ def _sarg_fix() -> Column:
 
 
 def not_in_query() -> Column:
-    return (c("utok") == "IN") & (c("n1") == "(") & c("n2").isin("SELECT", "WITH") & (c("lb.utok") == "NOT")
+    return c("in_query") & (c("lb.utok") == "NOT")
 
 
 def nested_sort() -> Column:
     query = c("grp").isNull() | c("grp.body")
     return (
-        (c("utok") == "ORDER") & (c("n1") == "BY") & query & (c("nest") > 0)
+        c("order_by") & query & (c("nest") > 0)
         & ~c("after_setop") & ~c("has_top") & (F.coalesce(c("limit_next"), F.lit("X")) == "X")
     )
 
@@ -115,7 +115,7 @@ def join_cast() -> Column:
 
 
 def leading_wildcard() -> Column:
-    return c("utok").isin("LIKE", "ILIKE") & (c("nk1") == "string") & F.startswith("nt1", F.lit("'%"))
+    return c("wild_like")
 
 
 def any_star() -> Column:
@@ -142,28 +142,28 @@ def first_break() -> Column:
 CORE_RULES = [
     Rule("SQL-CART-001", "CRITICAL", "Join without a condition", cartesian,
          lambda: F.when(_cross(), "CROSS JOIN pairs every row with every row.").otherwise("The join has no ON or USING, so every pair of rows is built."),
-         "Join on a key, for example ON a.id = b.a_id."),
+         "Join on a key, for example ON a.id = b.a_id.", anchors=("JOIN", ",")),
     Rule("SQL-SARG-001", "HIGH", "Column hidden in an expression", unsargable,
          lambda: F.concat(F.lit("The comparison wraps a column in "), F.when(_side("date"), "a date function").when(_side("text"), "a text function").when(_side("other"), "a function").otherwise("arithmetic"), F.lit(", so no range scan applies.")),
-         _sarg_fix),
+         _sarg_fix, anchors=tuple(L.COMPARISONS)),
     Rule("SQL-NOTIN-001", "HIGH", "NOT IN over a subquery", not_in_query,
-         "One NULL in the subquery makes NOT IN return no rows.", "Use NOT EXISTS or an anti join."),
+         "One NULL in the subquery makes NOT IN return no rows.", "Use NOT EXISTS or an anti join.", anchors=("IN",)),
     Rule("SQL-SORT-001", "HIGH", "Sort in a nested block", nested_sort,
-         "The nested block is sorted but has no LIMIT; the outer query does not keep the order.", "Drop the ORDER BY or add a LIMIT."),
+         "The nested block is sorted but has no LIMIT; the outer query does not keep the order.", "Drop the ORDER BY or add a LIMIT.", anchors=("ORDER",)),
     Rule("SQL-STAR-001", "MEDIUM", "Star in a nested block", nested_star,
-         "The nested block carries every source column.", "List the columns that are used."),
+         "The nested block carries every source column.", "List the columns that are used.", anchors=("*",)),
     Rule("SQL-CAST-001", "MEDIUM", "Cast on a join key", join_cast,
-         "The join condition casts a key.", "Store both keys in one type."),
+         "The join condition casts a key.", "Store both keys in one type.", anchors=("=", "==")),
     Rule("SQL-LIKE-001", "MEDIUM", "Pattern starts with a wildcard", leading_wildcard,
-         "A leading % leaves no prefix to search by.", "Anchor a prefix, or search a reversed or trigram column."),
+         "A leading % leaves no prefix to search by.", "Anchor a prefix, or search a reversed or trigram column.", anchors=("LIKE", "ILIKE")),
 ]
 PARSER_RULE = Rule("PARSER-001", "HIGH", "Statement is malformed", first_break,
-                   "The statement is not well formed here; no other rule ran on it.", "Repair the syntax first.", on_broken=True)
+                   "The statement is not well formed here; no other rule ran on it.", "Repair the syntax first.", on_broken=True, anchors=())
 PRO_RULES = [
-    Rule("SQL-WILD-001", "MEDIUM", "Star projection", any_star, "SELECT * reads every column.", "List the columns that are used.", ruleset="pro"),
-    Rule("SQL-CART-001", "CRITICAL", "Join without a condition", cartesian, "The join has no condition.", "Join on a key.", ruleset="pro"),
+    Rule("SQL-WILD-001", "MEDIUM", "Star projection", any_star, "SELECT * reads every column.", "List the columns that are used.", ruleset="pro", anchors=("*",)),
+    Rule("SQL-CART-001", "CRITICAL", "Join without a condition", cartesian, "The join has no condition.", "Join on a key.", ruleset="pro", anchors=("JOIN", ",")),
     Rule("SQL-SARG-001", "HIGH", "Date function over a column", direct_date, "A date function over the column hides it from range scans.",
-         "Compare the bare column with a half-open date range.", ruleset="pro", fixable=_year_equality),
+         "Compare the bare column with a half-open date range.", ruleset="pro", fixable=_year_equality, anchors=tuple(L.COMPARISONS)),
 ]
 DEFAULT_RULES = CORE_RULES + [PARSER_RULE]
 ALL_RULES = DEFAULT_RULES + PRO_RULES
@@ -177,21 +177,35 @@ def fires(rule: Rule) -> Column:
 
 def usable_rules(tokens: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
     """Rules that resolve against the token table; one bad rule must not lose the others."""
+    def resolves(some: Sequence[Rule]) -> str | None:
+        try:
+            tokens.select(*[F.struct(fires(r), _text(r.message), _text(r.fix)) for r in some]).schema  # analysis only
+        except AnalysisException as err:
+            return str(err).splitlines()[0]
+        return None
+
+    if resolves(rules) is None:
+        return list(rules)
     kept = []
     for rule in rules:
-        try:
-            tokens.select(fires(rule), _text(rule.message), _text(rule.fix)).schema  # analysis only
+        problem = resolves([rule])
+        if problem is None:
             kept.append(rule)
-        except AnalysisException as err:
-            log.warning("rule %s skipped: %s", rule.rule_id, str(err).splitlines()[0])
+        else:
+            log.warning("rule %s skipped: %s", rule.rule_id, problem)
     return kept
 
 
+def anchors_of(rules: Sequence[Rule]) -> list[str] | None:
+    """Tokens at which these rules can fire, or None when some rule does not say."""
+    if any(r.anchors is None for r in rules):
+        return None
+    return sorted({a for r in rules for a in r.anchors})
+
+
 def find(annotated: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """``findings`` rows for annotated tokens."""
-    blank = F.lit("")
-    near = F.trim(F.concat_ws(" ", F.coalesce("p2", blank), F.coalesce("p1", blank), "tok", F.coalesce("nt1", blank), F.coalesce("nt2", blank), F.coalesce("nt3", blank)))
-    snippet = F.when(F.length(near) > 72, F.concat(F.substring(near, 1, 69), F.lit("..."))).otherwise(near)
+    kept = usable_rules(annotated, rules)
     hits = [
         F.when(
             fires(rule),
@@ -205,10 +219,13 @@ def find(annotated: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFra
                 (F.coalesce(rule.fixable(), F.lit(False)) if callable(rule.fixable) else F.lit(rule.fixable)).alias("fixable"),
             ),
         )
-        for rule in usable_rules(annotated, rules)
+        for rule in kept
     ]
-    found = annotated.select(
-        "script_id", "stmt_no", "line", "col", snippet.alias("snippet"), F.explode(F.array_compact(F.array(*hits))).alias("hit")
+    any_rule = reduce(lambda x, y: x | y, [fires(rule) for rule in kept], F.lit(False))
+    at = anchors_of(kept)
+    near = annotated if at is None else annotated.filter(c("utok").isin(at) | c("broken"))
+    found = near.filter(any_rule).select(
+        "script_id", "stmt_no", "line", "col", "snippet", F.explode(F.array_compact(F.array(*hits))).alias("hit")
     )
     return found.select(
         "script_id", "stmt_no", "hit.ruleset", "hit.rule_id", "hit.severity", "hit.title", "hit.message",
@@ -230,8 +247,9 @@ def distinct_scripts(scripts: DataFrame) -> DataFrame:
     return keyed.groupBy("script_id").agg(F.first("dialect").alias("dialect"), F.first("sql").alias("sql"))
 
 
-def annotate_scripts(scripts: DataFrame) -> DataFrame:
-    return annotate(tokenize(scripts))
+def annotate_scripts(scripts: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """Annotated tokens; with ``rules`` only what these rules look at."""
+    return annotate(tokenize(scripts), None if rules is None else anchors_of(rules))
 
 
 def lint_corpus(scripts: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, dedup: bool = True) -> DataFrame:
@@ -241,9 +259,9 @@ def lint_corpus(scripts: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, dedup
     back to all its copies; adaptive skew handling splits a hot copy group.
     """
     if not dedup:
-        return find(annotate_scripts(scripts), rules)
+        return find(annotate_scripts(scripts, rules), rules)
     ids = scripts.select(fingerprint(c("dialect"), c("sql")).alias("fp"), "script_id")
-    found = find(annotate_scripts(distinct_scripts(scripts)), rules).withColumnRenamed("script_id", "fp")
+    found = find(annotate_scripts(distinct_scripts(scripts), rules), rules).withColumnRenamed("script_id", "fp")
     return ids.join(found, "fp").drop("fp")
 
 

@@ -11,6 +11,8 @@ each ON to the join just before it.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -62,6 +64,16 @@ def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+def _by_script(scripts: DataFrame) -> DataFrame:
+    """Hash the text by script into a fixed number of parts.
+
+    The count is given outright because adaptive coalescing judges by the bytes of
+    the text, while the tokens made from it take many times that.
+    """
+    parts = int(scripts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scripts.repartition(parts, "script_id")
+
+
 def split_pieces(scripts: DataFrame, quoted_identifiers: bool = True) -> DataFrame:
     """One row per statement piece, terminator included, with its place in the script."""
     body = _statement_body(quoted_identifiers)
@@ -69,7 +81,7 @@ def split_pieces(scripts: DataFrame, quoted_identifiers: bool = True) -> DataFra
     before = by_script.rowsBetween(W.unboundedPreceding, -1)
     pieces = (
         scripts.select("script_id", "dialect", F.regexp_replace("sql", "^﻿", "").alias("sql"))
-        .repartition("script_id")
+        .transform(_by_script)
         .select(
             "script_id",
             "dialect",
@@ -172,6 +184,7 @@ _BREAKS = (
     "NATURAL UNION INTERSECT EXCEPT MINUS AND OR NOT IN IS LIKE ILIKE BETWEEN WHEN THEN ELSE CASE END AS SET VALUES "
     "INTO RETURNING WITH ASC DESC OVER"
 ).split()
+_NAMED_JOINS = ["NATURAL", "ASOF", "POSITIONAL"]
 _SETOPS = ["UNION", "INTERSECT", "EXCEPT", "MINUS"]
 _BODY = ["SELECT", "WITH"]
 _BY_POS = "(PARTITION BY script_id, stmt_no ORDER BY pos)"
@@ -182,20 +195,27 @@ def _next_mark(column: str, over: str = _BY_LEVEL) -> Column:
     return F.expr(f"lead({column}, 1) IGNORE NULLS OVER {over}")
 
 
-def annotate(tokens: DataFrame) -> DataFrame:
+def annotate(tokens: DataFrame, anchors: Sequence[str] | None = None) -> DataFrame:
     """Add nesting, clause, operand and running-count columns to the token table.
 
     Four window passes over one partitioning: by position, by level, by position,
     by level. A *level* is the depth of parentheses; sibling groups on one level
     are kept apart because each starts at its own ``(``, which resets the state.
+    Everything that depends on neighbouring text becomes a flag in the first pass,
+    so the later sorts move narrow rows. With ``anchors`` (the tokens that the
+    caller will look at) the last two passes keep only those and the marks they
+    depend on.
     """
     pos_w = W.partitionBy("script_id", "stmt_no").orderBy("pos")
     level = W.partitionBy("script_id", "stmt_no", "depth").orderBy("pos")
     earlier = W.unboundedPreceding, -1
-    c = F.col
+    c, no, when = F.col, F.lit(False), F.when
+
+    def sure(x: Column) -> Column:
+        return F.coalesce(x, no)
 
-    # pass 1: neighbours, depth, columns seen so far
-    t = tokens.withColumn("kind", F.when((c("kind") == "word") & c("utok").isin(RESERVED), "kw").otherwise(c("kind")))
+    # pass 1: neighbours and the flags they decide
+    t = tokens.withColumn("kind", when((c("kind") == "word") & c("utok").isin(RESERVED), "kw").otherwise(c("kind")))
     near = {f"p{i}": F.lag("utok", i).over(pos_w) for i in range(1, 5)}
     near |= {f"pk{i}": F.lag("kind", i).over(pos_w) for i in range(1, 3)}
     for i in range(1, 7):
@@ -203,101 +223,125 @@ def annotate(tokens: DataFrame) -> DataFrame:
         near[f"nk{i}"] = F.lead("kind", i).over(pos_w)
         near[f"nt{i}"] = F.lead("tok", i).over(pos_w)
     t = t.withColumns(near)
-    is_open, is_close = c("tok") == "(", c("tok") == ")"
-    operand_before = c("pk1").isin("word", "ident", "number", "string") | (c("p1") == ")")
-    no_p1 = c("p1").isNull()
+    is_open, is_close, at_end = c("tok") == "(", c("tok") == ")", c("kind") == "end"
+    operand_before = sure(c("pk1").isin("word", "ident", "number", "string") | (c("p1") == ")"))
     is_col = (
         c("kind").isin("word", "ident")
-        & (c("n1") != "(")
-        & (c("nk1") != "string")
-        & (no_p1 | (~operand_before & ~c("p1").isin("AS", "::", ":", "@")))
-        & (c("n1") != "=>")
-        & ~F.coalesce((c("p1") == "(") & (c("p2") == "EXTRACT"), F.lit(False))
-        & ~F.coalesce((c("n1") == "AS") & (c("n2") == "(") & c("p1").isin("WITH", "RECURSIVE", ","), F.lit(False))
+        & ~sure(c("n1").isin("(", "=>"))
+        & ~sure(c("nk1") == "string")
+        & ~operand_before
+        & ~sure(c("p1").isin("AS", "::", ":", "@"))
+        & ~sure((c("p1") == "(") & (c("p2") == "EXTRACT"))
+        & ~sure((c("n1") == "AS") & (c("n2") == "(") & c("p1").isin("WITH", "RECURSIVE", ","))
     )
-    t = t.withColumn("is_col", is_col)
-    opens = F.sum(F.when(is_open, 1).otherwise(0)).over(pos_w)
-    closes = F.coalesce(F.sum(F.when(is_close, 1).otherwise(0)).over(pos_w.rowsBetween(*earlier)), F.lit(0))
-    squares = F.sum(F.when(c("tok") == "[", 1).when(c("tok") == "]", -1).otherwise(0)).over(pos_w)
-    cols = F.sum(F.when(c("is_col"), 1).otherwise(0)).over(pos_w)
-    t = t.withColumns({"depth": opens - closes, "squares": squares, "col_seen": cols})
-    callable_before = (c("pk1") == "word") | (c("pk1") == "ident") | c("p1").isin(_CALLABLE)
-    is_cte = c("p1").isin("MATERIALIZED") | ((c("p1") == "AS") & (c("p3").isin("WITH", "RECURSIVE", ",") | (c("p2") == ")")))
+    callable_before = sure(c("pk1").isin("word", "ident") | c("p1").isin(_CALLABLE))
+    is_cte = sure((c("p1") == "MATERIALIZED") | ((c("p1") == "AS") & (c("p3").isin("WITH", "RECURSIVE", ",") | (c("p2") == ")"))))
+    body = sure(c("n1").isin(_BODY))
     open_kind = (
-        F.when(~is_open, F.lit(None))
-        .when(c("n1").isin(_BODY) & (c("p1") == "EXISTS"), "exists")
-        .when(c("n1").isin(_BODY) & (c("p1") == "IN"), "in_query")
-        .when(c("n1").isin(_BODY) & is_cte, "cte")
-        .when(c("n1").isin(_BODY) & callable_before, "call")
-        .when(c("n1").isin(_BODY), "derived")
+        when(~is_open, F.lit(None))
+        .when(body & (c("p1") == "EXISTS"), "exists")
+        .when(body & (c("p1") == "IN"), "in_query")
+        .when(body & is_cte, "cte")
+        .when(body & callable_before, "call")
+        .when(body, "derived")
         .when(c("p1") == "IN", "in_list")
         .when(c("p1") == "OVER", "window")
         .when(callable_before, "call")
         .otherwise("group")
     )
-    t = t.withColumn("open_kind", open_kind)
+    quotes = F.length("tok") - F.length(F.replace("tok", F.lit("'"), F.lit("")))
+    unclosed = (
+        ((c("kind") == "string") & ((quotes % 2) == 1))
+        | ((c("kind") == "ident") & ((F.length("tok") == 1) | ~F.substring("tok", -1, 1).isin('"', "`", "]")))
+        | (c("kind") == "comment")
+    )
+    empty_list = (c("utok") == "SELECT") & (c("kind") == "kw") & (c("n1").isin("FROM", "WHERE", ")", ";", "") | c("n1").isNull())
+    word_break = (
+        c("tok").isin("(", ")", ",", ";") | at_end | c("utok").isin(L.COMPARISONS) | ((c("kind") == "kw") & c("utok").isin(_BREAKS))
+    )
+    named = sure(c("p1").isin(_NAMED_JOINS)) | sure(c("p2").isin(_NAMED_JOINS)) | sure(c("p3").isin(_NAMED_JOINS))
+    by_next = sure(c("n1") == "BY")
+    blank = F.lit("")
+    text = F.trim(
+        F.concat_ws(" ", F.coalesce("p2", blank), F.coalesce("p1", blank), "tok", F.coalesce("nt1", blank), F.coalesce("nt2", blank), F.coalesce("nt3", blank))
+    )
+    snippet = when(F.length(text) > 72, F.concat(F.substring(text, 1, 69), F.lit("..."))).otherwise(text)
+    t = t.withColumns(
+        {
+            "is_col": is_col,
+            "open_kind": open_kind,
+            "is_break": word_break,
+            "step": when(is_open, 1).when(is_close, -1).otherwise(0),
+            "square": when(c("tok") == "[", 1).when(c("tok") == "]", -1).otherwise(0),
+            "setop_word": c("utok").isin(_SETOPS) & sure(c("n1").isin("SELECT", "ALL", "DISTINCT", "(")),
+            "clause_word": (c("utok").isin(_CLAUSES) & ~(c("utok").isin("FROM", "ON") & sure(c("p1") == "DISTINCT")))
+            | (c("utok").isin("GROUP", "ORDER", "CLUSTER", "DISTRIBUTE", "SORT") & by_next),
+            "star_word": (c("tok") == "*") & sure(c("p1").isin("SELECT", "DISTINCT", "ALL", ",", ".") | ((c("pk1") == "number") & (c("p2") == "TOP"))),
+            "top_word": sure((c("utok") == "SELECT") & (c("n1") == "TOP")),
+            "plus_word": c("tok").isin("+", "-")
+            & (operand_before | sure(c("p1").isin("END", "NULL", "]", "CURRENT_DATE", "CURRENT_TIMESTAMP", "CURRENT_TIME"))),
+            "ill_word": unclosed | empty_list,
+            "named_join": (c("utok") == "JOIN") & named,
+            "cross_join": (c("utok") == "JOIN") & sure(c("p1") == "CROSS"),
+            "sideways": c("utok").isin("JOIN", ",") & sure(c("n1").isin("LATERAL", "UNNEST")),
+            "in_query": (c("utok") == "IN") & sure((c("n1") == "(") & c("n2").isin(_BODY)),
+            "order_by": (c("utok") == "ORDER") & by_next,
+            "wild_like": c("utok").isin("LIKE", "ILIKE") & sure((c("nk1") == "string") & F.startswith("nt1", F.lit("'%"))),
+            "snippet": snippet if anchors is None else when(c("utok").isin(list(anchors)) | unclosed | empty_list | at_end, snippet),
+            "opening": when(is_open, F.struct(c("p1").alias("fn"), body.alias("body"), sure(c("p1").isin("FROM", "JOIN")).alias("joined"))),
+        }
+    )
+    opens = F.sum(when(c("step") > 0, 1).otherwise(0)).over(pos_w)
+    closes = F.coalesce(F.sum(when(c("step") < 0, 1).otherwise(0)).over(pos_w.rowsBetween(*earlier)), F.lit(0))
+    t = t.withColumns(
+        {
+            "depth": (opens - closes).cast("int"),
+            "squares": F.sum("square").over(pos_w),
+            "col_seen": F.sum(when(c("is_col"), 1).otherwise(0)).over(pos_w).cast("int"),
+        }
+    )
 
     # pass 2: the enclosing group, its clause, and the operands around each token
-    group = F.last(
-        F.when(
-            is_open,
-            F.struct(
-                c("pos"),
-                c("open_kind").alias("kind"),
-                c("n1").isin(_BODY).alias("body"),
-                c("p1").alias("fn"),
-                c("col_seen"),
-                F.coalesce(c("p1").isin("FROM", "JOIN"), F.lit(False)).alias("joined"),
-            ),
-        ),
-        ignorenulls=True,
-    ).over(level)
-    t = t.withColumn("grp", F.when(c("depth") > 0, group))
+    opened, closed = c("step") > 0, c("step") < 0
+    group = F.struct(c("pos"), c("open_kind").alias("kind"), "opening.body", "opening.fn", "opening.joined", c("col_seen"))
+    t = t.withColumn("grp", F.last(when(opened, group), ignorenulls=True).over(level))
+    t = t.withColumn("grp", when(c("depth") > 0, c("grp")))
     t = t.withColumn("query_level", c("grp").isNull() | c("grp.body") | (c("grp.kind") == "group"))
-    is_setop = c("query_level") & c("utok").isin(_SETOPS) & c("n1").isin("SELECT", "ALL", "DISTINCT", "(")
-    clause_here = c("query_level") & (
-        (c("utok").isin(_CLAUSES) & ~(c("utok").isin("FROM", "ON") & F.coalesce(c("p1") == "DISTINCT", F.lit(False))))
-        | (c("utok").isin("GROUP", "ORDER", "CLUSTER", "DISTRIBUTE", "SORT") & (c("n1") == "BY"))
-    )
-    t = t.withColumns({"is_setop": is_setop, "is_clause": clause_here | is_setop})
-    state = F.when(is_open, F.lit("")).when(c("is_clause"), c("utok"))
-    is_break = (
-        c("tok").isin("(", ")", ",", ";") | (c("kind") == "end") | c("utok").isin(L.COMPARISONS) | ((c("kind") == "kw") & c("utok").isin(_BREAKS))
-    )
-    after_setop = F.last(F.when(is_open, F.lit(False)).when(c("is_setop"), F.lit(True)), ignorenulls=True).over(level)
-    has_top = F.last(F.when(is_open, F.lit(False)).when(c("utok") == "SELECT", c("n1") == "TOP"), ignorenulls=True).over(level)
-    plus_like = c("tok").isin("+", "-", "*", "/", "%", "||")
-    jm = (
-        F.when(c("utok").isin("ON", "USING"), "P")
-        .when(c("is_clause") | is_open | is_close | (c("tok") == ",") | (c("tok") == ";") | (c("kind") == "end"), "X")
+    t = t.withColumns({"is_setop": c("query_level") & c("setop_word"), "is_clause": c("query_level") & (c("clause_word") | c("setop_word"))})
+    stop = opened | closed | (c("tok") == ";") | (c("kind") == "end")
+    t = t.withColumns(
+        {
+            "state": when(opened, F.lit("")).when(c("is_clause"), c("utok")),
+            "jm": when(c("utok").isin("ON", "USING"), "P").when(c("is_clause") | stop | (c("tok") == ","), "X"),
+            "lm": when(c("utok").isin("LIMIT", "FETCH"), "L").when(stop | c("is_setop"), "X"),
+            "sm": when(opened, F.lit(False)).when(c("is_setop"), F.lit(True)),
+            "tm": when(opened, F.lit(False)).when(c("utok") == "SELECT", c("top_word")),
+        }
     )
-    lm = F.when(c("utok").isin("LIMIT", "FETCH"), "L").when(is_open | is_close | c("is_setop") | (c("tok") == ";") | (c("kind") == "end"), "X")
-    t = t.withColumns({"is_break": is_break, "jm": jm, "lm": lm})
+    so_far = level.rowsBetween(W.unboundedPreceding, 0)
     t = t.withColumns(
         {
-            "clause": F.coalesce(F.last(state, ignorenulls=True).over(level), F.lit("")),
-            "clause_before": F.coalesce(F.last(state, ignorenulls=True).over(level.rowsBetween(*earlier)), F.lit("")),
-            "after_setop": F.coalesce(after_setop, F.lit(False)),
-            "has_top": F.coalesce(has_top, F.lit(False)),
+            "clause": F.coalesce(F.last("state", ignorenulls=True).over(so_far), F.lit("")),
+            "clause_before": F.coalesce(F.last("state", ignorenulls=True).over(level.rowsBetween(*earlier)), F.lit("")),
+            "after_setop": sure(F.last("sm", ignorenulls=True).over(so_far)),
+            "has_top": sure(F.last("tm", ignorenulls=True).over(so_far)),
             "n_here": F.row_number().over(level),
-            "casts_here": F.sum(F.when(c("tok") == "::", 1).otherwise(0)).over(level),
-            "ops_here": F.sum(F.when(plus_like, 1).otherwise(0)).over(level),
+            "casts_here": F.sum(when(c("tok") == "::", 1).otherwise(0)).over(so_far),
+            "ops_here": F.sum(when(c("tok").isin("+", "-", "*", "/", "%", "||"), 1).otherwise(0)).over(so_far),
             "l1": F.lag("utok", 1).over(level),
             "r1": F.lead("utok", 1).over(level),
             "join_next": _next_mark("jm"),
             "limit_next": _next_mark("lm"),
         }
     )
-    t = t.withColumn("in_from", c("query_level") & c("clause").isin("FROM", "JOIN", "ON", "USING"))
-    star = (
-        (c("tok") == "*")
-        & c("query_level")
-        & (c("clause") == "SELECT")
-        & (c("p1").isin("SELECT", "DISTINCT", "ALL", ",", ".") | ((c("pk1") == "number") & (c("p2") == "TOP")))
+    t = t.withColumns(
+        {
+            "in_from": c("query_level") & c("clause").isin("FROM", "JOIN", "ON", "USING"),
+            "is_star": c("star_word") & c("query_level") & (c("clause") == "SELECT"),
+            "mark": when(c("is_break"), F.struct("utok", "n_here", "col_seen", "casts_here", "ops_here")),
+        }
     )
-    t = t.withColumn("is_star", F.coalesce(star, F.lit(False)))
-    star_mark = F.when(c("is_star"), "*").when(c("utok") == "SELECT", "S").when(is_open, "(")
-    t = t.withColumn("mark", F.when(c("is_break"), F.struct("utok", "n_here", "col_seen", "casts_here", "ops_here")))
+    star_mark = when(c("is_star"), "*").when(c("utok") == "SELECT", "S").when(opened, "(")
     t = t.withColumns(
         {
             "star_before": F.last(star_mark, ignorenulls=True).over(level.rowsBetween(*earlier)),
@@ -305,60 +349,48 @@ def annotate(tokens: DataFrame) -> DataFrame:
             "rb": _next_mark("mark"),
         }
     )
-    call_close = is_close & (c("grp.kind") == "call") & (c("col_seen") > c("grp.col_seen"))
-    arith = (
-        c("tok").isin("+", "-")
-        & (operand_before | c("p1").isin("END", "NULL", "]", "CURRENT_DATE", "CURRENT_TIMESTAMP", "CURRENT_TIME"))
-        & (c("rb.col_seen") > F.coalesce(c("lb.col_seen"), F.lit(0)))
-    )
-    flags = (
-        ("date", call_close & c("grp.fn").isin(L.DATE_FUNCTIONS)),
-        ("text", call_close & c("grp.fn").isin(L.TEXT_FUNCTIONS)),
-        ("other", call_close & c("grp.fn").isin(L.OTHER_FUNCTIONS)),
-        ("arith", arith),
-    )
-    t = t.withColumns({f"bad_{name}": F.when(cond, 1).otherwise(0) for name, cond in flags})
-    quotes = F.length("tok") - F.length(F.replace("tok", F.lit("'"), F.lit("")))
-    unclosed = (
-        ((c("kind") == "string") & ((quotes % 2) == 1))
-        | ((c("kind") == "ident") & (F.length("tok") == 1))
-        | ((c("kind") == "ident") & ~F.substring("tok", -1, 1).isin('"', "`", "]"))
-        | (c("kind") == "comment")
-    )
-    broken = (
-        unclosed
-        | (is_close & (c("depth") <= 0))
-        | ((c("kind") == "end") & ((c("depth") != 0) | (c("squares") != 0)))
-        | ((c("tok") == "]") & (c("squares") < 0))
-        | ((c("utok") == "SELECT") & (c("kind") == "kw") & (c("n1").isin("FROM", "WHERE", ")", ";", "") | c("n1").isNull()))
+    call_close = closed & sure((c("grp.kind") == "call") & (c("col_seen") > c("grp.col_seen")))
+    arith = c("plus_word") & sure(c("rb.col_seen") > F.coalesce(c("lb.col_seen"), F.lit(0)))
+    broken = c("ill_word") | (closed & (c("depth") <= 0)) | ((c("tok") == "]") & (c("squares") < 0))
+    broken = broken | ((c("kind") == "end") & ((c("depth") != 0) | (c("squares") != 0)))
+    sub_kind = ("cte", "in_query", "derived")
+    t = t.withColumns(
+        {
+            "bad_date": when(call_close & c("grp.fn").isin(L.DATE_FUNCTIONS), 1).otherwise(0),
+            "bad_text": when(call_close & c("grp.fn").isin(L.TEXT_FUNCTIONS), 1).otherwise(0),
+            "bad_other": when(call_close & c("grp.fn").isin(L.OTHER_FUNCTIONS), 1).otherwise(0),
+            "bad_arith": when(arith, 1).otherwise(0),
+            "broken": sure(broken),
+            "sub_open": when(opened & c("open_kind").isin(*sub_kind), 1).otherwise(0),
+            "sub_close": when(closed & sure(c("grp.kind").isin(*sub_kind)), 1).otherwise(0),
+            "on_step": when((c("utok") == "ON") & c("is_clause"), 1).otherwise(0)
+            - when((c("clause_before") == "ON") & (c("is_clause") | closed | (c("tok") == ";") | (c("kind") == "end")), 1).otherwise(0),
+        }
     )
-    t = t.withColumn("broken", F.coalesce(broken, F.lit(False)))
 
     # pass 3: counters over positions
-    sub_open = is_open & c("open_kind").isin("cte", "in_query", "derived")
-    sub_close = is_close & c("grp.kind").isin("cte", "in_query", "derived")
+    if anchors is not None:
+        counted = (c("bad_arith") > 0) | (c("step") != 0) | c("is_break") | c("broken")
+        t = t.filter(counted | c("utok").isin(list(anchors)))
+    run = pos_w.rowsBetween(W.unboundedPreceding, 0)
     before = pos_w.rowsBetween(*earlier)
-    on_open = (c("utok") == "ON") & c("is_clause")
-    on_close = (c("clause_before") == "ON") & (c("is_clause") | is_close | (c("tok") == ";") | (c("kind") == "end"))
-    on_step = F.when(on_open, 1).otherwise(0) - F.when(on_close, 1).otherwise(0)
     whole = pos_w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     names = ("date", "text", "other", "arith")
-    nest = F.sum(F.when(sub_open, 1).otherwise(0)).over(pos_w) - F.coalesce(F.sum(F.when(sub_close, 1).otherwise(0)).over(before), F.lit(0))
     t = t.withColumns(
         {
-            "nest": nest,
-            "in_on": F.sum(on_step).over(pos_w) > 0,
+            "nest": F.sum("sub_open").over(run) - F.coalesce(F.sum("sub_close").over(before), F.lit(0)),
+            "in_on": F.sum("on_step").over(run) > 0,
             "stmt_broken": F.max("broken").over(whole),
-            "broken_no": F.sum(F.when(c("broken"), 1).otherwise(0)).over(pos_w),
+            "broken_no": F.sum(when(c("broken"), 1).otherwise(0)).over(run),
         }
-        | {f"cum_{n}": F.sum(f"bad_{n}").over(pos_w) for n in names}
+        | {f"cum_{n}": F.sum(f"bad_{n}").over(run) for n in names}
     )
 
     # pass 4: what lies inside the two operands of a comparison
     t = t.withColumns(
         {
-            "am": F.when(c("is_break"), F.struct(*[c(f"cum_{n}").alias(n) for n in names])),
-            "bm": F.when(c("is_break"), F.struct(*[(c(f"cum_{n}") - c(f"bad_{n}")).alias(n) for n in names])),
+            "am": when(c("is_break"), F.struct(*[c(f"cum_{n}").alias(n) for n in names])),
+            "bm": when(c("is_break"), F.struct(*[(c(f"cum_{n}") - c(f"bad_{n}")).alias(n) for n in names])),
         }
     )
     t = t.withColumns({"lc": F.last("am", ignorenulls=True).over(level.rowsBetween(*earlier)), "rc": _next_mark("bm")})
