@@ -218,6 +218,7 @@ def annotate(tokens: DataFrame, anchors: Sequence[str] | None = None) -> DataFra
     t = tokens.withColumn("kind", when((c("kind") == "word") & c("utok").isin(RESERVED), "kw").otherwise(c("kind")))
     near = {f"p{i}": F.lag("utok", i).over(pos_w) for i in range(1, 5)}
     near |= {f"pk{i}": F.lag("kind", i).over(pos_w) for i in range(1, 3)}
+    near |= {"pt2": F.lag("tok", 2).over(pos_w)}
     for i in range(1, 7):
         near[f"n{i}"] = F.lead("utok", i).over(pos_w)
         near[f"nk{i}"] = F.lead("kind", i).over(pos_w)
@@ -312,9 +313,10 @@ def annotate(tokens: DataFrame, anchors: Sequence[str] | None = None) -> DataFra
     t = t.withColumns(
         {
             "state": when(opened, F.lit("")).when(c("is_clause"), c("utok")),
-            "jm": when(c("utok").isin("ON", "USING"), "P").when(c("is_clause") | stop | (c("tok") == ","), "X"),
+            "jm": when(c("utok").isin("ON", "USING"), c("utok")).when(c("is_clause") | stop | (c("tok") == ","), "X"),
             "lm": when(c("utok").isin("LIMIT", "FETCH"), "L").when(stop | c("is_setop"), "X"),
             "sm": when(opened, F.lit(False)).when(c("is_setop"), F.lit(True)),
+            "cm": when(closed, c("off")),
             "tm": when(opened, F.lit(False)).when(c("utok") == "SELECT", c("top_word")),
         }
     )
@@ -332,13 +334,14 @@ def annotate(tokens: DataFrame, anchors: Sequence[str] | None = None) -> DataFra
             "r1": F.lead("utok", 1).over(level),
             "join_next": _next_mark("jm"),
             "limit_next": _next_mark("lm"),
+            "close_off": _next_mark("cm"),
         }
     )
     t = t.withColumns(
         {
             "in_from": c("query_level") & c("clause").isin("FROM", "JOIN", "ON", "USING"),
             "is_star": c("star_word") & c("query_level") & (c("clause") == "SELECT"),
-            "mark": when(c("is_break"), F.struct("utok", "n_here", "col_seen", "casts_here", "ops_here")),
+            "mark": when(c("is_break"), F.struct("utok", "n_here", "col_seen", "casts_here", "ops_here", "off", (c("off") + F.length("tok")).alias("off_end"))),
         }
     )
     star_mark = when(c("is_star"), "*").when(c("utok") == "SELECT", "S").when(opened, "(")
