@@ -135,13 +135,9 @@ def nesting_depth(tokens: DataFrame) -> DataFrame:
 def clause_usage(tokens: DataFrame) -> DataFrame:
     """Per script whether joins, filters, sorts, groups and projections occur."""
     comma = (c("tok") == ",") & c("in_from")
-    return tokens.groupBy("script_id").agg(
-        F.bool_or((c("is_clause") & (c("utok") == "JOIN")) | comma).alias("has_join"),
-        F.bool_or(c("is_clause") & (c("utok") == "WHERE")).alias("has_where"),
-        F.bool_or((c("utok") == "ORDER") & (c("n1") == "BY")).alias("has_orderby"),
-        F.bool_or(c("is_clause") & (c("utok") == "GROUP")).alias("has_groupby"),
-        F.bool_or(c("is_clause") & (c("utok") == "SELECT")).alias("has_select"),
-    )
+    word = lambda w: c("is_clause") & (c("utok") == w)
+    seen = {"join": word("JOIN") | comma, "where": word("WHERE"), "orderby": c("order_by"), "groupby": word("GROUP"), "select": word("SELECT")}
+    return tokens.groupBy("script_id").agg(*[F.bool_or(x & ~c("stmt_broken")).alias(f"has_{n}") for n, x in seen.items()])
 
 
 def clause_totals(usage: DataFrame) -> DataFrame:

@@ -72,9 +72,9 @@ TEMPLATES = [
         cart=1, sarg=2, notin=1, sort=1, star=1, wild=1, pcart=1, psarg=1, score=100, level="CRITICAL", complexity="O(N*M)", tables=4, depth=2,
     ),
     Template("SELECT p_name FROM part WHERE p_size = #S; SELECT n_name FROM nation;", tables=2, statements=2),
-    Template("SELECT FROM part WHERE p_size = #S", parser=1),
-    Template("SELECT (p_size + #S FROM part", parser=1),
-    Template("SELECT 'open string FROM part", parser=1, complexity="O(1)", tables=0),
+    Template("SELECT FROM part WHERE p_size = #S", parser=1, tables=0),
+    Template("SELECT (p_size + #S FROM part", parser=1, tables=0),
+    Template("SELECT 'open string FROM part", parser=1, tables=0),
     Template("SELECT ';', \"a;b\" FROM part -- tail ; here\nWHERE p_size /* ; */ = #S"),
     Template("SELECT count(*) FROM lineitem l LEFT JOIN part p ON l.l_partkey::int = p.p_partkey", cast=1, tables=2),
     Template("SELECT a.* FROM orders a WHERE EXISTS (SELECT * FROM lineitem b WHERE b.l_orderkey = a.o_orderkey)", wild=2, tables=2),
@@ -83,8 +83,33 @@ TEMPLATES = [
     Template("SELECT a FROM (SELECT b FROM (SELECT c FROM (SELECT p_size AS c FROM part) t3) t2) t1", depth=3, score=10),
     Template("SELECT o_orderkey FROM orders WHERE o_totalprice IS DISTINCT FROM #S ORDER BY o_orderkey"),
     Template("(SELECT p_partkey FROM part UNION ALL SELECT s_suppkey FROM supplier ORDER BY 1)", tables=2, depth=1),
+    Template("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus HAVING count(*) > #S ORDER BY n LIMIT 5"),
 ]
 
+# --- fixed values: what each template reads and does, by its place in the list
+LINEAGE = {
+    1: "part", 2: "nation region:CROSS JOIN!", 3: "orders customer:INNER JOIN!", 4: "orders lineitem:INNER JOIN!", 5: "part supplier:INNER JOIN! nation:INNER JOIN!",
+    6: "orders customer:INNER JOIN", 7: "nation region:INNER JOIN!", 8: "nation region:INNER JOIN!", 9: "orders", 10: "part", 11: "part", 12: "orders", 13: "orders",
+    14: "orders", 15: "part", 16: "orders", 17: "part x", 18: "part", 19: "part x", 20: "orders customer", 21: "orders", 22: "part x", 23: "part x", 24: "part",
+    25: "orders customer:INNER JOIN", 26: "orders customer:INNER JOIN", 27: "part", 28: "part", 29: "orders a customer:INNER JOIN! supplier", 30: "part nation", 34: "part",
+    35: "lineitem part:LEFT JOIN", 36: "orders lineitem", 37: "part", 38: "nation region", 39: "part", 40: "orders", 41: "part supplier", 42: "orders",
+}
+STAGES = {
+    0: "SELECT", 2: "FROM,JOIN,SELECT", 3: "FROM,JOIN,WHERE,SELECT", 4: "FROM,JOIN,WHERE,SELECT", 5: "FROM,JOIN,SELECT", 6: "FROM,JOIN,SELECT", 7: "FROM,JOIN,SELECT",
+    8: "FROM,JOIN,SELECT", 17: "FROM,SELECT", 18: "FROM,SELECT", 19: "FROM,SELECT", 22: "FROM,SELECT", 23: "FROM,SELECT", 24: "FROM,SELECT", 25: "FROM,JOIN,SELECT",
+    26: "FROM,JOIN,WHERE,SELECT", 29: "FROM,SELECT", 30: "FROM,WHERE,SELECT;FROM,SELECT", 31: "", 32: "", 33: "", 35: "FROM,JOIN,SELECT", 38: "FROM,JOIN,SELECT",
+    39: "FROM,SELECT", 40: "FROM,WHERE,SELECT,ORDER BY", 41: "", 42: "FROM,GROUP BY,HAVING,SELECT,ORDER BY,LIMIT",
+}
+STAGES_DEFAULT = "FROM,WHERE,SELECT"
+FILTERS = {i: 1 for i in (1, 3, 4, 9, 10, 11, 12, 13, 14, 15, 16, 20, 21, 26, 27, 28, 29, 30, 34, 37, 38, 40)} | {36: 2}
+JOINS = {i: 1 for i in (2, 3, 4, 6, 7, 8, 25, 26, 29, 35, 38)} | {5: 2}
+PROJECTIONS = {17: 2, 18: 2, 19: 2, 20: 2, 22: 2, 23: 2, 29: 4, 30: 2, 31: 0, 32: 0, 33: 0, 36: 2, 38: 2, 39: 4, 41: 2}
+SORTED = [22, 23, 24, 29, 40, 41, 42]
+MISSING = {
+    17: ["x"], 19: ["x"], 22: ["x"], 23: ["x"], 29: ["a", "orders.s_suppkey"], 34: ["part.a;b"], 38: ["nation.r_name", "nation.r_regionkey"],
+    39: ["part.a", "part.b", "part.c"], 41: ["part.s_suppkey"], 42: ["orders.n"],
+}
+
 COUNTS = {
     "SQL-CART-001": "cart", "SQL-SARG-001": "sarg", "SQL-NOTIN-001": "notin", "SQL-SORT-001": "sort",
     "SQL-STAR-001": "star", "SQL-CAST-001": "cast", "SQL-LIKE-001": "like", "PARSER-001": "parser",
