@@ -9,7 +9,6 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -221,10 +220,11 @@ def find(annotated: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFra
         )
         for rule in kept
     ]
-    any_rule = reduce(lambda x, y: x | y, [fires(rule) for rule in kept], F.lit(False))
     at = anchors_of(kept)
-    near = annotated if at is None else annotated.filter(c("utok").isin(at) | c("broken"))
-    found = near.filter(any_rule).select(
+    near = annotated if at is None else annotated.filter(c("utok").isin(at) | c("ill_word") | (c("kind") == "end") | c("tok").isin(")", "]"))
+    # rows without a hit fall out in the explode; a filter on the rules themselves would be
+    # copied through every projection below it
+    found = near.select(
         "script_id", "stmt_no", "line", "col", "snippet", F.explode(F.array_compact(F.array(*hits))).alias("hit")
     )
     return found.select(

@@ -373,8 +373,9 @@ def annotate(tokens: DataFrame, anchors: Sequence[str] | None = None) -> DataFra
 
     # pass 3: counters over positions
     if anchors is not None:
-        counted = (c("bad_arith") > 0) | (c("step") != 0) | c("is_break") | c("broken")
-        t = t.filter(counted | c("utok").isin(list(anchors)))
+        # only columns made before the windows, so that the filter stays a short test
+        marks = (c("step") != 0) | c("is_break") | c("plus_word") | c("ill_word") | (c("tok") == "]")
+        t = t.filter(marks | c("utok").isin(list(anchors)))
     run = pos_w.rowsBetween(W.unboundedPreceding, 0)
     before = pos_w.rowsBetween(*earlier)
     whole = pos_w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
