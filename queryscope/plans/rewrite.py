@@ -96,7 +96,7 @@ def _span(start: Column, end: Column, negated: Column) -> list[Column]:
 def _range_spans() -> tuple[Column, list[Column]]:
     """Both operands of an equality that has a date function directly on one side."""
     shape = lint.direct_date() & (c("utok") == "=") & ~c("stmt_broken")
-    return shape, _span(c("lb.off_end"), c("rb.off"), c("lb.utok") == "NOT")
+    return shape, _span(c("lb.off_end"), c("rb.prev_end"), c("lb.utok") == "NOT")
 
 
 def _exists_spans() -> tuple[Column, list[Column]]:

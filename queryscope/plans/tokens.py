@@ -218,7 +218,7 @@ def annotate(tokens: DataFrame, anchors: Sequence[str] | None = None) -> DataFra
     t = tokens.withColumn("kind", when((c("kind") == "word") & c("utok").isin(RESERVED), "kw").otherwise(c("kind")))
     near = {f"p{i}": F.lag("utok", i).over(pos_w) for i in range(1, 5)}
     near |= {f"pk{i}": F.lag("kind", i).over(pos_w) for i in range(1, 3)}
-    near |= {"pt2": F.lag("tok", 2).over(pos_w)}
+    near |= {"pt2": F.lag("tok", 2).over(pos_w), "prev_end": F.lag(c("off") + F.length("tok"), 1).over(pos_w)}
     for i in range(1, 7):
         near[f"n{i}"] = F.lead("utok", i).over(pos_w)
         near[f"nk{i}"] = F.lead("kind", i).over(pos_w)
@@ -341,7 +341,7 @@ def annotate(tokens: DataFrame, anchors: Sequence[str] | None = None) -> DataFra
         {
             "in_from": c("query_level") & c("clause").isin("FROM", "JOIN", "ON", "USING"),
             "is_star": c("star_word") & c("query_level") & (c("clause") == "SELECT"),
-            "mark": when(c("is_break"), F.struct("utok", "n_here", "col_seen", "casts_here", "ops_here", "off", (c("off") + F.length("tok")).alias("off_end"))),
+            "mark": when(c("is_break"), F.struct("utok", "n_here", "col_seen", "casts_here", "ops_here", "prev_end", (c("off") + F.length("tok")).alias("off_end"))),
         }
     )
     star_mark = when(c("is_star"), "*").when(c("utok") == "SELECT", "S").when(opened, "(")

@@ -62,7 +62,13 @@ if __name__ == "__main__":
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     pick = sys.argv[2].split(",") if len(sys.argv) > 2 else None
-    spark = local_session(8)
+    if os.environ.get("QUERYSCOPE_PLAIN"):  # a session without this package's settings
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").config(
+            "spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").getOrCreate()
+    else:
+        spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
     queries, texts = entry.queries(), entry.oracle_sql()
     bad = 0

@@ -93,6 +93,7 @@ def test_rewrites_keep_the_rest_and_settle(spark):
         "SELECT * FROM o WHERE o.k NOT IN (SELECT k FROM t GROUP BY k)": None,
         "SELECT 'YEAR(d) = 2026' FROM t WHERE YEAR(d) = 2026 + 1": None,
         "SELECT * FROM t WHERE MONTH(d) = 1": None,
+        "SELECT * FROM t WHERE YEAR(d) = 2020 -- tail\n": "SELECT * FROM t WHERE d >= CAST('2020-01-01' AS DATE) AND d < CAST('2021-01-01' AS DATE) -- tail\n",
     }
     new, _ = rewrite.rewrite_corpus(scripts_frame(spark, list(cases)))
     rows = {r.script_id: r.sql for r in new.collect()}
