@@ -49,6 +49,24 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
     ).withColumn("type", kinds[F.col("column")])
 
 
+def one_decimal(x: Column) -> Column:
+    """A double with one decimal, rounded by its exact binary value, ties to even.
+
+    Ten times x is formed as 8x + 2x with its rounding error kept, because the
+    formatter rounds the printed digits, which differs where they end in 5.
+    """
+    a, b = x * 8, x * 2
+    s = a + b
+    err = (a - (s - (s - a))) + (b - (s - a))
+    low = F.floor(s)
+    part = s - low
+    up = (part > 0.5) | ((part == 0.5) & ((err > 0) | ((err == 0) & (F.abs(low) % 2 == 1))))
+    n = low + F.when(up, 1).otherwise(0)
+    digits = F.abs(n)
+    sign = F.when((n < 0) | ((n == 0) & (x < 0)), "-").otherwise("")
+    return F.concat(sign, F.floor(digits / 10).cast("string"), F.lit("."), (digits % 10).cast("string"))
+
+
 def numeric_histogram(df: DataFrame, column: str, buckets: int = 4) -> DataFrame:
     """Equal-width buckets with empty ones kept: bucket, label ``lo-hi``, count.
 
@@ -69,7 +87,8 @@ def numeric_histogram(df: DataFrame, column: str, buckets: int = 4) -> DataFrame
     )
     left = F.col("lo") + F.col("span") * F.col("bucket") / buckets
     right = F.col("lo") + F.col("span") * (F.col("bucket") + 1) / buckets
-    label = F.when(F.col("lo").isNull(), "N/A").otherwise(F.concat(F.format_string("%.1f", left), F.lit("-"), F.format_string("%.1f", right)))
+    shape = shape.withColumns({"left": left, "right": right})
+    label = F.when(F.col("lo").isNull(), "N/A").otherwise(F.concat(one_decimal(F.col("left")), F.lit("-"), one_decimal(F.col("right"))))
     # counts has at most `buckets` rows
     return shape.join(F.broadcast(counts), "bucket", "left").select(
         "bucket", label.alias("label"), F.coalesce("count", F.lit(0)).alias("count")

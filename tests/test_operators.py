@@ -151,3 +151,11 @@ def test_usage_log_skips_bad_lines(spark, tmp_path):
     path.write_text('{"ts": 1, "operation": "a"}\n\nnot json\n{"ts": 2, "operation": "b"}\n')
     assert [r.operation for r in records.read_usage_log(spark, str(path), 1).collect()] == ["b"]
     assert records.read_usage_log(spark, str(path)).count() == 2
+
+
+def test_one_decimal_rounds_like_the_exact_value(spark):
+    from queryscope.operators.profile import one_decimal
+
+    values = [499705.05, 0.25, 0.35, -0.25, -0.01, 2.0, 1e6 + 0.05, 0.05, 0.15, 123.449999, -7.65, 99.95]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r.s for r in df.select(one_decimal(F.col("x")).alias("s")).collect()] == [f"{v:.1f}" for v in values]
