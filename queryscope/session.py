@@ -28,3 +28,11 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names for cut lineage, or None when none is set."""
     return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def can_checkpoint(spark: SparkSession) -> bool:
+    """Whether lineage can be cut in a shared folder; hands the cluster's folder to the context."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None and checkpoint_dir(spark):
+        context.setCheckpointDir(checkpoint_dir(spark))
+    return context.getCheckpointDir() is not None

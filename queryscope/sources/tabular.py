@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from queryscope.session import can_checkpoint
+
 # --- fixed values: column names that hint at a time
 TIME_HINTS = ["date", "dt", "day", "created_at", "updated_at", "timestamp"]
 _BARE = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
@@ -91,7 +93,7 @@ def render_inserts(df: DataFrame, name: str, key: str, batch: int = 500) -> Data
     row = F.concat(F.lit("  ("), F.concat_ws(", ", *[literal(f) for f in df.schema.fields]), F.lit(")"))
     rows = df.select(F.col(key).alias("__k"), row.alias("__row"))
     ranged = rows.repartitionByRange("__k").withColumn("__part", F.spark_partition_id())
-    if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None):
+    if can_checkpoint(df.sparkSession):
         ranged = ranged.checkpoint()
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
