@@ -2,9 +2,13 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
+# used by sessions on one machine that name no shared folder
+LOCAL_SHARED = "file:///tmp/checkpoints"
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "queryscope") -> SparkSession:
     """A UTC session with adaptive execution; on a cluster use the one you are given."""
@@ -26,8 +30,22 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for cut lineage, or None when none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the cluster names: the session's setting, else one set on the context."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, as a URI that driver and executors see alike.
+
+    A session on a single machine (``local[..]``) that names no folder gets one of
+    its own; a cluster that names none is an error, since each executor would write to its own disk.
+    """
+    base = checkpoint_dir(spark)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = LOCAL_SHARED
+    return f"{base.rstrip('/')}/queryscope/{name}-{uuid.uuid4().hex}"
 
 
 def can_checkpoint(spark: SparkSession) -> bool:

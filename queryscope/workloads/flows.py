@@ -1,14 +1,11 @@
 """Queries over sources, sinks and streams; each one writes below its own new folder."""
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from queryscope.operators.similarity import hash_embedding
 from queryscope.plans import lint
-from queryscope.session import checkpoint_dir
+from queryscope.session import shared_folder
 from queryscope.sources import records, tabular
 from queryscope.sources import scripts as files
 from queryscope.streaming import queries as ST
@@ -19,9 +16,7 @@ from queryscope.workloads.scripts import _WITH
 
 
 def _folder(spark, name):
-    """A new folder in the shared area of a cluster, or a local one when none is named."""
-    base = checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"queryscope-{name}-")
+    return shared_folder(spark, name)
 
 
 def _stream(spark, df, name):
