@@ -1,0 +1,6 @@
+import pytest
+
+
+@pytest.fixture(scope="session")
+def small():
+    return "/root/testdata/sf0.01"

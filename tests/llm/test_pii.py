@@ -1,0 +1,78 @@
+"""Personal data against a plain version that follows the written rules with Python's re."""
+import hashlib
+import re
+
+from queryscope.llm import pii
+from queryscope.llm.registry import QUERIES
+from queryscope.llm import queries  # noqa: F401
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def plain(text):
+    text, found = text or "", []
+    for kind, p in PLAIN.items():
+        for m in re.finditer(p, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True, "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                found.append((kind, m.start(), m.end()))
+    return found
+
+
+def digest(found):
+    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in found).encode()).hexdigest()
+
+
+CASES = [
+    None, "", "no data", "a@b.c_d@e.f", "x@y@z.com a@b x@-.-", "é😀 mail me: joe.doe+x@mail.example.com, ok", "1.2.3.4.5.6.7.8 256.1.1.1 0001.002.3.255 1.2.3",
+    "999999999999999999999.1.1.1", "card 4111 1111 1111 1111, 4111-1111-1111-1112 5500005555555559 5", "4111 1111 1111 1111 4111 1111 1111 1111", "+1 (414) 555-7134 +12 +1234567890123456 +1 2-",
+    "++49 30 1234567 (0)", "DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432 XX01AAAABBBBCCCCDDDD", "ssn 078-05-1120 other 078-05-1120x", "1 " * 4000 + "a@b.cc " * 3000, "9" * 3000, "a." * 2000 + "@b", "+" + "1(" * 3000,
+    "١٢.1.2.3  1.1.1.1", "line\r\nbob@site.org\n4111111111111111\n",
+]
+
+
+def test_base_spans(spark):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(CASES)], "doc_id long, text string, spans string")
+    got = {r.doc_id: r for r in pii.digest(df).collect()}
+    assert len(got) == len(CASES)
+    for i, t in enumerate(CASES):
+        want = plain(t)
+        base = [s for s in got[i].spans.split(",") if s and s.split(":")[0] in PLAIN]
+        assert base == [":".join(map(str, w)) for w in want], (i, (t or "")[:60])
+        assert got[i].base_sha256 == digest(want)
+        assert [got[i][f"n_{k}"] for k in PLAIN] == [sum(w[0] == k for w in want) for k in PLAIN]
+
+
+def test_method_spans(spark):
+    df = spark.createDataFrame([(12, CASES[12]), (13, CASES[13])], "doc_id long, text string")
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.split(":")[0] in ("iban", "ssn")] for r in pii.digest(df).collect()}
+    assert got[12] == ["iban:0:27", "iban:32:54"]
+    assert got[13] == ["ssn:4:15"]
+
+
+def test_context_raises_the_score(spark):
+    df = spark.createDataFrame([(1, "pay by card 4111111111111111"), (2, "number 4111111111111111")], "doc_id long, text string")
+    got = {r.doc_id: r.spans[0].score for r in pii.find_spans(df, "text", ["doc_id"]).collect()}
+    assert got[1] > got[2]
+
+
+def test_query_over_table(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op9_personal_data"](spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = plain(texts[r.doc_id])
+        assert r.base_sha256 == digest(want)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(w[0] == k for w in want) for k in PLAIN)
+
+
+def test_empty_table(spark):
+    assert pii.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
