@@ -1,3 +1,3 @@
 """All queries of this part and their DuckDB texts."""
-from queryscope.llm import queries_pii, queries_urls  # noqa: F401
+from queryscope.llm import queries_pii, queries_simhash, queries_urls  # noqa: F401
 from queryscope.llm.registry import ORACLES, QUERIES  # noqa: F401
