@@ -1,6 +1,6 @@
 """Web archives: records are written, revisits resolved by payload digest, deduplicated archives written and read back.
 
-1. every task writes its pages as plain records and returns their headers,
+1. every task writes its pages as they come, one gzip member per record, and returns their headers,
 2. headers alone are shuffled by digest; of records with equal payloads of at least
    ``MIN_REVISIT`` bytes the one with the largest page id is the original (between
    equal ids the one stored last), the others revisit it,
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from queryscope.llm.common import file_system, shared_folder, stored
 
 MIN_REVISIT = 1000
-LEVEL = 4
+FIRST_LEVEL, LEVEL = 1, 4  # of compression: archives that are rewritten, archives that stay
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -54,6 +54,12 @@ def record(kind: str, rid: str, page_id: int | None, url: str | None, digest: st
     return head.encode() + http + payload + b"\r\n\r\n"
 
 
+def packed(data: bytes, level: int) -> bytes:
+    """One gzip member."""
+    pack = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return pack.compress(data) + pack.flush()
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and payload of one record."""
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -79,20 +85,20 @@ def members(stream, piece: int = 1 << 20):
         raise ValueError("an archive ends inside a record")
 
 
-def write_plain(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One plain archive per task; returns a header row per record."""
+def write_first(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """One archive per task; returns a header row per record."""
 
     def work(batches):
         system, path = file_system(folder)
         system.create_dir(path, recursive=True)
-        name, out, at = f"plain-{uuid.uuid4().hex}.warc", None, 0
+        name, out, at = f"first-{uuid.uuid4().hex}.warc.gz", None, 0
         for b in batches:
-            out = out or system.open_output_stream(f"{path}/{name}")
+            out = out or system.open_output_stream(f"{path}/{name}", compression=None)
             rows = []
             for page_id, u, payload in zip(*[c.to_pylist() for c in (b.column(0), b.column(1), b.column(2).cast(pa.binary()))]):
                 payload = payload or b""
                 digest = hashlib.sha1(payload).hexdigest()
-                data = record("response", record_id(name, at), page_id, u, digest, payload)
+                data = packed(record("response", record_id(name, at), page_id, u, digest, payload), FIRST_LEVEL)
                 out.write(data)
                 rows.append((name, at, len(data), page_id, u, digest, len(payload)))
                 at += len(data)
@@ -116,29 +122,28 @@ def resolve(headers: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     return joined.select(*headers.columns, *[F.when(other, F.col(f"o.{c}")).alias(f"o_{c}") for c in ("page_id", "file", "start", "url")])
 
 
-def write_deduplicated(decided: DataFrame, plain: str, folder: str, level: int = LEVEL) -> DataFrame:
-    """Rewrite every plain archive, one gzip member per record; returns (file, records)."""
+def write_deduplicated(decided: DataFrame, first: str, folder: str, level: int = LEVEL) -> DataFrame:
+    """Rewrite every archive, one gzip member per record; returns (file, records)."""
 
     def work(batches):
-        source, source_path = file_system(plain)
+        source, source_path = file_system(first)
         system, path = file_system(folder)
         system.create_dir(path, recursive=True)
         name, n, out, now, reader = f"dedup-{uuid.uuid4().hex}.warc.gz", 0, None, None, None
         for b in batches:
-            out = out or system.open_output_stream(f"{path}/{name}")
+            out = out or system.open_output_stream(f"{path}/{name}", compression=None)
             for r in b.to_pylist():
                 if r["file"] != now:
                     reader, now = source.open_input_file(f"{source_path}/{r['file']}"), r["file"]
                 rid = record_id(r["file"], r["start"])
                 if r["o_file"] is None:
                     reader.seek(r["start"])
-                    data = record("response", rid, r["page_id"], r["url"], r["digest"], parse(reader.read(r["bytes"]))[1])
+                    data = record("response", rid, r["page_id"], r["url"], r["digest"], parse(zlib.decompress(reader.read(r["bytes"]), 31))[1])
                 else:
                     extra = (("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(r["o_file"], r["o_start"])), ("WARC-Refers-To-Date", DATE))
                     extra += (("WARC-Refers-To-Target-URI", _clean(r["o_url"])),) if r["o_url"] is not None else ()
                     data = record("revisit", rid, r["page_id"], r["url"], r["digest"], b"", extra)
-                pack = zlib.compressobj(level, zlib.DEFLATED, 31)
-                out.write(pack.compress(data) + pack.flush())
+                out.write(packed(data, level))
                 n += 1
         if out:
             out.close()
@@ -158,7 +163,7 @@ def read_records(files: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for name in b.column(0).to_pylist():
                 rows = []
-                with system.open_input_stream(f"{path}/{name}") as stream:
+                with system.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     for data in members(stream):
                         fields, payload = parse(data)
                         first, page = fields["WARC-Type"] == "response", fields.get("X-Page-ID")
@@ -191,6 +196,6 @@ def resolved_records(records: DataFrame) -> DataFrame:
 def archive(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> tuple[DataFrame, str]:
     """Write deduplicated archives; returns the stored list of files and their folder."""
     spark = pages.sparkSession
-    plain, folder = shared_folder(spark, "warc-plain"), shared_folder(spark, "warc")
-    headers = stored(write_plain(pages, plain, key, url, html), "warc-headers")
-    return stored(write_deduplicated(resolve(headers), plain, folder), "warc-files"), folder
+    first, folder = shared_folder(spark, "warc-first"), shared_folder(spark, "warc")
+    headers = stored(write_first(pages, first, key, url, html), "warc-headers")
+    return stored(write_deduplicated(resolve(headers), first, folder), "warc-files"), folder
