@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from queryscope.session import shared_folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and lost executors cost nothing already stored."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

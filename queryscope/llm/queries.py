@@ -1,3 +1,3 @@
 """All queries of this part and their DuckDB texts."""
-from queryscope.llm import queries_decontaminate, queries_pii, queries_quality, queries_simhash, queries_urls, queries_warc  # noqa: F401
+from queryscope.llm import queries_decontaminate, queries_pii, queries_quality, queries_simhash, queries_tokens, queries_urls, queries_warc  # noqa: F401
 from queryscope.llm.registry import ORACLES, QUERIES  # noqa: F401
