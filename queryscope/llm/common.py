@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from queryscope.session import shared_folder
 
@@ -15,8 +15,17 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+def text_runs(texts: list, most: int = 2_000_000):
+    """(first, after last) of runs of texts with at most ``most`` characters; a longer text is a run of its own."""
+    a, size = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if size and size + n > most:
+            yield a, i
+            a, size = i, 0
+        size += n
+    if a < len(texts):
+        yield a, len(texts)
 
 
 def file_system(uri: str):

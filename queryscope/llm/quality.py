@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryscope.llm.common import stored
+from queryscope.llm.common import stored, text_runs
 
 ORDER = 4
 HASH_BITS = 24
@@ -28,7 +28,6 @@ LEAST_SPREAD = 0.05  # a band is never narrower than WIDTH times this
 START, END = "\x02", "\x03"
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
-_STEP_CHARS = 2_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -64,19 +63,6 @@ def _grams(codes: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray,
     return which, first, np.diff(np.concatenate([[0], ends])) - (order - 1)
 
 
-def _steps(lines: list[str]):
-    """Runs of lines of bounded length; a longer line is a run of its own."""
-    run, size = [], 0
-    for i, line in enumerate(lines):
-        if run and size + len(line) > _STEP_CHARS:
-            yield run
-            run, size = [], 0
-        run.append(i)
-        size += len(line)
-    if run:
-        yield run
-
-
 def _by_lang(langs: list) -> dict[str, list[int]]:
     found: dict[str, list[int]] = {}
     for i, lang in enumerate(langs):
@@ -104,15 +90,17 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def work(batches):
         for b in batches:
-            lines = [_line(words_of(t)) for t in b.column(1).to_pylist()]
-            for lang, rows in _by_lang(b.column(0).to_pylist()).items():
-                own = [lines[i] for i in rows if lines[i]]
-                for run in _steps(own):
-                    codes, ends = _coded([own[i] for i in run], order)
-                    which, first, _ = _grams(codes, ends, order)
-                    text = codes[first[:, None] + np.arange(order)].tobytes().decode("utf-32-le")
-                    grams = [text[i:i + order] for i in range(0, len(text), order)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(np.bincount(which))], names=["lang", "gram", "n"])
+            langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for a, z in text_runs(texts):
+                lines = [_line(words_of(t)) for t in texts[a:z]]
+                for lang, rows in _by_lang(langs[a:z]).items():
+                    own = [lines[i] for i in rows if lines[i]]
+                    if own:
+                        codes, ends = _coded(own, order)
+                        which, first, _ = _grams(codes, ends, order)
+                        text = codes[first[:, None] + np.arange(order)].tobytes().decode("utf-32-le")
+                        grams = [text[i:i + order] for i in range(0, len(text), order)]
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(np.bincount(which))], names=["lang", "gram", "n"])
 
     return docs.mapInArrow(work, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -239,9 +227,8 @@ def measure(docs: DataFrame, table: dict, order: int = ORDER, bits: int = HASH_B
     def perplexity(langs, lines):
         out, model = np.zeros(len(lines)), shared.value
         for lang, rows in _by_lang(langs).items():
-            own = [i for i in rows if lines[i]]
-            for run in _steps([lines[i] for i in own]):
-                at = [own[i] for i in run]
+            at = [i for i in rows if lines[i]]
+            if at:
                 codes, ends = _coded([lines[i] for i in at], order)
                 which, first, places = _grams(codes, ends, order)
                 logp = log_probabilities(model, lang, codes[first[:, None] + np.arange(order)], bits)[which]
@@ -259,15 +246,18 @@ def measure(docs: DataFrame, table: dict, order: int = ORDER, bits: int = HASH_B
 
     def work(batches):
         for b in batches:
-            texts = [t or "" for t in b.column(2).to_pylist()]
-            words = [words_of(t) for t in texts]
-            lines = [_line(w) for w in words]
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            hashes = np.fromiter((hash(x) for w in words for x in w), np.int64, int(lengths.sum()))
-            chars = [len(b"".join(w).decode()) for w in words]
-            symbols = [sum(map(t.count, SYMBOLS)) for t in texts]
-            columns = [lengths, np.array(chars, np.int64), np.array(symbols, np.int64), np.array([duplicate_lines(t) for t in texts], np.int64), repeated_words(hashes, lengths), perplexity(b.column(1).to_pylist(), lines)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, columns)], names=["k", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
+            langs, whole = b.column(1).to_pylist(), [t or "" for t in b.column(2).to_pylist()]
+            for a, z in text_runs(whole):
+                texts = whole[a:z]
+                words = [words_of(t) for t in texts]
+                lengths = np.fromiter(map(len, words), np.int64, len(words))
+                hashes = np.fromiter((hash(x) for w in words for x in w), np.int64, int(lengths.sum()))
+                chars = [len(b"".join(w).decode()) for w in words]
+                lines = [_line(w) for w in words]
+                del words
+                symbols = [sum(map(t.count, SYMBOLS)) for t in texts]
+                columns = [lengths, np.array(chars, np.int64), np.array(symbols, np.int64), np.array([duplicate_lines(t) for t in texts], np.int64), repeated_words(hashes, lengths), perplexity(langs[a:z], lines)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), *map(pa.array, columns)], names=["k", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
 
     return docs.mapInArrow(work, "k long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from queryscope.llm import rans
-from queryscope.llm.common import file_system, shared_folder, stored
+from queryscope.llm.common import file_system, shared_folder, stored, text_runs
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 19
@@ -89,18 +89,6 @@ def _tokenizer(path: str) -> ChunkTokenizer:
     return _workers[path]
 
 
-def _slices(texts: list, most: int = 1 << 22):
-    """Runs of rows of bounded text size."""
-    a, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or "") > most:
-            yield a, i
-            a, size = i, 0
-        size += len(t or "")
-    if a < len(texts):
-        yield a, len(texts)
-
-
 def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Blocks in order: (part, block, width, keys, known, lengths, ids); ids take ``width`` bytes, as many as the vocabulary needs."""
     width = 2 if max(_tokenizer(tokenizer).library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
@@ -116,7 +104,7 @@ def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
 
         for b in batches:
             own, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for a, z in _slices(texts):
+            for a, z in text_runs(texts):
                 for k, ids in zip(own[a:z], _tokenizer(tokenizer).ids(texts[a:z])):
                     keys.append(k)
                     lengths.append(len(ids) // 4 + 1)
