@@ -29,23 +29,29 @@ from queryscope.llm.simhash import shingle_hashes
 
 EXAMPLES, CALIBRATION = 4000, 2000  # labelled rows per class, at most
 FEATURES = 20_000  # indexed features, at most
-LEAST_ROWS, LEAST_ODDS, SURE = 5, 4.0, 1.64  # examples with a feature, and the odds of one class that it must surely (in deviations) give
+LEAST_ROWS, LEAST_ODDS, SURE = 4, 6.0, 1.64  # examples with a feature, and the odds of one class that it must surely (in deviations) give
 NEIGHBOURS, BLOCK = 15, 32
 PRIOR = 0.25  # weight of the vote that no neighbour gives
-PREFIXES = (4, 5)
+PREFIXES, REPEATS = (4, 5, 7), (2, 3)  # lengths of starts, and numbers of different words with one start
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"\w+")
 
 
 def features(text: str | None) -> Counter:
-    """Words and starts of longer words (marked ``^``) with their counts."""
+    """Words, starts of longer words (marked ``^``) and starts that several words share (``*2``, ``*3``), with their counts."""
     words = Counter(_WORD.findall((text or "").lower()))
-    out = Counter(words)
+    starts: dict[str, list[int]] = {}
     for w, n in words.items():
         for p in PREFIXES:
             if len(w) > p:
-                out["^" + w[:p]] += n
+                starts.setdefault("^" + w[:p], []).append(n)
+    out = Counter(words)
+    for start, counts in starts.items():
+        out[start] = sum(counts)
+        for r in REPEATS:
+            if len(counts) >= r:
+                out[f"{start}*{r}"] = sum(counts)
     return out
 
 
