@@ -78,46 +78,76 @@ def _spans(hits: list[int], reach: int, size: int, limit: int) -> list[tuple[int
     return [(a, b) for a, b in out]
 
 
-def _scan(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFrame:
-    """(k, item, distance) of documents against one block of distinct items."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+class Matcher:
+    """One block of distinct items, ready to be searched for."""
 
-    def work(batches):
+    def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
+        self.items, self.rate, self.patterns = items, rate, {}
         where: dict[str, list[tuple[int, int]]] = {}
-        for n, (_, item) in enumerate(shared.value):
+        for n, (_, item) in enumerate(items):
             for offset, piece in pieces(item, rate):
                 where.setdefault(piece, []).append((n, offset))
-        search = ahocorasick.Automaton()
+        self.search = ahocorasick.Automaton()
         for piece, at in where.items():
-            search.add_word(piece, (len(piece), at))
-        search.make_automaton()
-        patterns: dict[int, Pattern] = {}
+            self.search.add_word(piece, (len(piece), at))
+        self.search.make_automaton()
+
+    def found(self, text: str | None):
+        """(item id, distance) of the items in a text."""
+        text, hits = plain(text), {}
+        for end, (size, at) in self.search.iter(text):
+            for n, offset in at:
+                hits.setdefault(n, []).append(end + 1 - size - offset)
+        for n, starts in hits.items():
+            key, item = self.items[n]
+            most = budget(len(item), self.rate)
+            if n not in self.patterns:
+                self.patterns[n] = Pattern(item)
+            edits = [self.patterns[n].best(text[a:z], most) for a, z in _spans(starts, most, len(item), len(text))]
+            edits = [d for d in edits if d is not None]
+            if edits:
+                yield key, min(edits)
+
+
+def _scan(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFrame:
+    """(k, item, distance) of documents (k, text) against one block of items."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def work(batches):
+        matcher = Matcher(shared.value, rate)
         for b in batches:
-            keys, ids, edits = b.column(0), [], []
-            rows = []
+            rows, ids, edits = [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                text, hits = plain(text), {}
-                for end, (size, at) in search.iter(text):
-                    for n, offset in at:
-                        hits.setdefault(n, []).append(end + 1 - size - offset)
-                for n, starts in hits.items():
-                    item = shared.value[n][1]
-                    most = budget(len(item), rate)
-                    if n not in patterns:
-                        patterns[n] = Pattern(item)
-                    found = [patterns[n].best(text[a:z], most) for a, z in _spans(starts, most, len(item), len(text))]
-                    found = [d for d in found if d is not None]
-                    if found:
-                        rows.append(i)
-                        ids.append(shared.value[n][0])
-                        edits.append(min(found))
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), pa.array(ids, pa.int64()), pa.array(edits, pa.int64())], names=["k", "item", "distance"])
+                for item, d in matcher.found(text):
+                    rows.append(i)
+                    ids.append(item)
+                    edits.append(d)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, pa.int64()), pa.array(edits, pa.int64())], names=["k", "item", "distance"])
 
     return docs.mapInArrow(work, "k long, item long, distance long")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` (all columns) that hold no item; no shuffle, one pass for each block of items."""
+    at = docs.columns.index(text)
+
+    def passing(shared):
+        def work(batches):
+            matcher = Matcher(shared.value, rate)
+            for b in batches:
+                kept = [not any(True for _ in matcher.found(t)) for t in b.column(at).to_pylist()]
+                yield b.filter(pa.array(kept, pa.bool_()))
+
+        return work
+
+    schema = docs.schema
+    for block in blocks(benchmark, item, item_text, chars):
+        docs = docs.mapInArrow(passing(docs.sparkSession.sparkContext.broadcast(block)), schema)
+    return docs
+
+
 def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", chars: int = BLOCK_CHARS):
     """Distinct items as lists of (smallest id, plain text), each of about ``chars`` characters; one block is on the driver at a time."""
     block, size = [], 0

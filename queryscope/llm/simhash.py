@@ -95,5 +95,18 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     return marked.join(of, F.col("fp") == F.col("f")).select(F.col("k").alias(key), "fp", "component_id")
 
 
+def representatives(docs: DataFrame, text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``docs`` (all columns) that come first in their group; of repeated rows one stays.
+
+    Rows are numbered as they are read, so ``docs`` must be a stored table.
+    """
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    first = groups(numbered.select(row, text), row, text, words, radius).filter(F.col(row) == F.col("component_id")).select(row)
+    return numbered.join(first, row, "left_semi").select(*docs.columns)
+
+
 def hexed(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
