@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from queryscope.llm import rans
-from queryscope.llm.common import file_system, shared_folder, stored, text_runs
+from queryscope.llm.common import file_system, shared_folder, stored
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 19
 # chunks of text whose ids a Python worker remembers, in two generations of this size
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 _FILE_MAGIC, _END_MAGIC = b"QRF1", b"QRE1"
 _INDEX, _INDEX_BYTES = "<QQQQ", 32  # place, bytes, documents, tokens
@@ -39,48 +39,85 @@ _workers: dict = {}
 
 
 class ChunkTokenizer:
-    """Ids of texts by chunks between ASCII white space, which no token of a white-space-dropping tokenizer crosses.
+    """Ids of texts by chunks between ASCII white space, which no token of a tokenizer with word ends crosses.
 
     The ids of a chunk are those that the library gives; a chunk met before is not
-    encoded again. ``whole`` encodes texts as they are, for any other tokenizer.
+    encoded again. A chunk that is a word of plain letters between marks is three runs
+    to the library's own splitting, so the word goes to a copy of the tokenizer that
+    leaves out the normalizing and splitting which such words do not need.
     """
 
+    MARKS = ".,;:!?()\""
+
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _encode(self, chunks: list[bytes]) -> None:
-        for i in range(0, len(chunks), 50_000):
-            run = chunks[i:i + 50_000]
-            texts = [c.decode() for c in run]
-            starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-            found = self.library.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            owner = np.searchsorted(starts, np.array([a for a, _ in found.offsets], np.int64), "right")
-            ends = np.searchsorted(owner, np.arange(len(run) + 1), "right")
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        size = self.library.get_vocab_size()
+        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks = {"": b""}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of plain letters: the last id of each is one with a word end."""
+        out = {}
+        for i in range(0, len(words), 2000):
+            run = words[i:i + 2000]
+            ids = np.array(self.words.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cuts) != len(run) + 1:
+                raise ValueError("this tokenizer marks no word ends")
             data = ids.tobytes()
-            for c, a, b in zip(run, ends[:-1].tolist(), ends[1:].tolist()):
-                self.young[c] = data[4 * a:4 * b]
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers."""
-        split = [(t or "").encode().split() for t in texts]
-        young, old, missing = self.young, self.old, set()
-        for chunks in split:
-            for c in set(chunks):
-                if c not in young:
-                    if c in old:
-                        young[c] = old[c]
-                    else:
-                        missing.add(c)
-        self._encode(list(missing))
-        out = [b"".join([young[c] for c in chunks]) for chunks in split]
+            out.update((w, data[a:b]) for w, a, b in zip(run, cuts, cuts[1:]))
+        return out
+
+    def _encode(self, chunks: list[str]) -> None:
+        plain, rest = [], []
+        for c in chunks:
+            right = c.rstrip(self.MARKS)
+            word = right.lstrip(self.MARKS)
+            lower = word.lower()
+            # below U+0250 letters are composed already and lower-case one by one
+            if lower.isalpha() and max(lower) < "\u0250" and len(lower) == len(word):
+                plain.append((c, right[:len(right) - len(word)], lower, c[len(right):]))
+            else:
+                rest.append(c)
+        unknown = list({m for _, a, _, z in plain for m in (a, z) if m not in self.marks})
+        self.marks.update(zip(unknown, self._whole(unknown)))
+        ids = self._words(list({w for _, _, w, _ in plain}))
+        self.young.update((c, self.marks[a] + ids[w] + self.marks[z]) for c, a, w, z in plain)
+        self.young.update(zip(rest, self._whole(rest)))
+
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks."""
+        young, old = self.young, self.old
+        missing = [c for c in chunks if c not in young]
+        young.update((c, old[c]) for c in missing if c in old)
+        self._encode([c for c in missing if c not in young])
+        found = [young[c] for c in chunks]
         if len(young) > REMEMBERED:
             self.young, self.old = {}, young
-        return out
+        return found
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        import pyarrow.compute as pc
+
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = lists.flatten().dictionary_encode()
+        at, found = words.indices.to_numpy(), self._known(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[at]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        tokens = flat[np.repeat(starts[at] - upto[:-1], each) + np.arange(upto[-1])]
+        return tokens, np.diff(upto[lists.offsets.to_numpy()])
 
 
 def _tokenizer(path: str) -> ChunkTokenizer:
@@ -89,27 +126,43 @@ def _tokenizer(path: str) -> ChunkTokenizer:
     return _workers[path]
 
 
+def _runs(texts: pa.Array, most: int = 6_000_000):
+    """(first, after last) of runs of texts of bounded size."""
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    a = 0
+    while a < len(texts):
+        z = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most, "right")))
+        yield a, z
+        a = z
+
+
 def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Blocks in order: (part, block, width, keys, known, lengths, ids); ids take ``width`` bytes, as many as the vocabulary needs."""
     width = 2 if max(_tokenizer(tokenizer).library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
     def work(batches):
-        part, block, end = TaskContext.get().partitionId(), 0, struct.pack("<I", end_id)
+        part, block = TaskContext.get().partitionId(), 0
         keys, lengths, parts, size = [], [], [], 0
 
         def flush():
             known = np.array([k is not None for k in keys], np.uint8).tobytes()
-            arrays = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([width], pa.int32()), pa.array([np.array([k or 0 for k in keys], "<i8").tobytes()]), pa.array([known]), pa.array([np.array(lengths, "<u4").tobytes()]), pa.array([np.frombuffer(b"".join(parts), "<u4").astype(f"<u{width}").tobytes()])]
+            arrays = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([width], pa.int32()), pa.array([np.array([k or 0 for k in keys], "<i8").tobytes()]), pa.array([known]), pa.array([np.array(lengths, "<u4").tobytes()]), pa.array([b"".join(parts)])]
             return pa.RecordBatch.from_arrays(arrays, names=["part", "block", "width", "keys", "known", "lengths", "ids"])
 
         for b in batches:
-            own, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for a, z in text_runs(texts):
-                for k, ids in zip(own[a:z], _tokenizer(tokenizer).ids(texts[a:z])):
+            own, texts = b.column(0).to_pylist(), b.column(1)
+            for a, z in _runs(texts):
+                tokens, sizes = _tokenizer(tokenizer).ids(texts.slice(a, z - a))
+                data = np.insert(tokens, np.cumsum(sizes), end_id).astype(f"<u{width}").tobytes()
+                at = 0
+                for k, n in zip(own[a:z], (sizes + 1).tolist()):
                     keys.append(k)
-                    lengths.append(len(ids) // 4 + 1)
-                    parts += [ids, end]
-                    size += lengths[-1]
+                    lengths.append(n)
+                    parts.append(data[at:at + width * n])
+                    at += width * n
+                    size += n
                     if size >= block_tokens:
                         yield flush()
                         block += 1
