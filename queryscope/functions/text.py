@@ -8,11 +8,10 @@ from queryscope import lookups as L
 
 
 def detect_dialect(sql: Column) -> Column:
-    """The first dialect whose signature occurs in the first 10,000 characters, else duckdb."""
-    head = F.substring(sql, 1, L.DETECT_CHARS)
+    """The first dialect whose signature occurs, else duckdb."""
     out = F.lit("duckdb")
     for name, pattern in reversed(L.DIALECT_SIGNATURES):
-        out = F.when(head.rlike("(?i)" + pattern), name).otherwise(out)
+        out = F.when(sql.rlike("(?i)" + pattern), name).otherwise(out)
     return F.when(F.trim(sql) == "", "duckdb").otherwise(out)
 
 

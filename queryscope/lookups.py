@@ -40,7 +40,6 @@ DIALECT_SIGNATURES = [
     ("duckdb", r"read_csv(_auto)?|read_parquet|INSTALL\s+\w+|LOAD\s+\w+"),
     ("bigquery", r"`[\w-]+\.[\w-]+\.[\w-]+`|SAFE_CAST|STRUCT|STRING_AGG"),
 ]
-DETECT_CHARS = 10000
 DEFAULT_SCHEMAS = ["public", "main", "default", "dbo"]
 
 # --- fixed values: cost models -----------------------------------------------------

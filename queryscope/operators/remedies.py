@@ -148,7 +148,7 @@ def trigram_search(df: DataFrame, key: str, column: str, needle: str, index: Dat
     if not grams:
         return df.filter(exact)
     idx = trigram_index(df, key, column) if index is None else index
-    hits = idx.filter(F.col("gram").isin(grams)).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(grams))
+    hits = idx.filter(F.col("gram").isin(grams)).groupBy(key).agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(grams))
     return df.join(hits, key, "left_semi").filter(exact)
 
 

@@ -13,12 +13,11 @@ PACK = 4096  # queries per pass; at 64 floats each this is about 1 MB per task
 REFACTOR_THRESHOLD = 0.92
 
 
-def _scores(index: DataFrame, ids: list, matrix: np.ndarray, index_id: str, vector: str, threshold: float) -> DataFrame:
+def _scores(index: DataFrame, ids: list, matrix: np.ndarray, index_id: str, id_type: str, vector: str, threshold: float) -> DataFrame:
     """Hits of one pack of queries: a matrix product per Arrow batch, misses never leave the task."""
     unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
     shared = index.sparkSession.sparkContext.broadcast((pa.array(ids), unit))
     key_type = index.schema[index_id].dataType.simpleString()
-    id_type = "bigint" if all(isinstance(i, int) for i in ids) else "string"
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries = shared.value
@@ -45,22 +44,24 @@ def vector_topk(
 ) -> DataFrame:
     """The k best index rows per query by cosine, none below ``threshold``.
 
-    Exact at any size. Queries are handed out in packs of fixed size, so what each
+    Exact at any size. Rows without a vector match nothing, vectors of different
+    lengths never match each other. Queries are handed out in packs of fixed size, so what each
     task holds does not grow with the data; more packs mean more passes over the
     index. The per-query cut is taken in each task before the shuffle.
     """
-    size = queries.count()
-    n_packs = max(1, -(-size // pack))
-    packed = queries.select(F.col(query_id), F.col(vector), F.pmod(F.xxhash64(query_id), F.lit(n_packs)).alias("__pack"))
+    usable = queries.filter(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull()))
+    n_packs = max(1, -(-usable.count() // pack))
+    packed = usable.select(F.col(query_id), F.col(vector), F.pmod(F.xxhash64(query_id), F.lit(n_packs)).alias("__pack"))
+    q_type, i_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, query_id), (index, index_id)))
     found = None
     for i in range(n_packs):
         rows = packed.filter(F.col("__pack") == i).collect()  # about `pack` rows
-        if not rows:
-            continue
-        part = _scores(index, [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64), index_id, vector, threshold)
-        found = part if found is None else found.unionByName(part)
+        for size in sorted({len(r[1]) for r in rows}):
+            own = [r for r in rows if len(r[1]) == size]
+            part = _scores(index, [r[0] for r in own], np.array([r[1] for r in own], dtype=np.float64), index_id, q_type, vector, threshold)
+            found = part if found is None else found.unionByName(part)
     if found is None:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, match_id bigint, score double, rank int")
+        return queries.sparkSession.createDataFrame([], f"query_id {q_type}, match_id {i_type}, score double, rank int")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("match_id"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -76,13 +77,14 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
 def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     """The newest entry per hash; entries without an embedding are left out.
 
-    Equal times go to the row from ``new``. The aggregate folds on the map side,
+    Equal times go to the row from ``new``, between equal rows of one side to the one
+    with the larger hash of its columns. The aggregate folds on the map side,
     so a hash written a million times reaches the reducer as one row per task.
     """
     usable = (F.col("embedding").isNotNull()) & (F.size("embedding") > 0)
     cols = cache.columns
     rows = cache.withColumn("__new", F.lit(0)).unionByName(new.select(*cols).withColumn("__new", F.lit(1))).filter(usable)
-    best = rows.groupBy("sql_hash").agg(F.max_by(F.struct(*[c for c in cols if c != "sql_hash"]), F.struct("created_at", "__new")).alias("__e"))
+    best = rows.groupBy("sql_hash").agg(F.max_by(F.struct(*[c for c in cols if c != "sql_hash"]), F.struct("created_at", "__new", F.xxhash64(*cols))).alias("__e"))
     return best.select("sql_hash", "__e.*").select(*cols).withColumn("point_id", F.substring("sql_hash", 1, 16))
 
 
@@ -124,10 +126,10 @@ def fuzzy_score(query: str, text: Column) -> Column:
 
 
 def fuzzy_rank(df: DataFrame, query: str, columns: Sequence[str]) -> DataFrame:
-    """Rows that match in some column, best (lowest) score first."""
+    """Rows that match in some column, best (lowest) score first, equal scores by the searched columns."""
     cleaned = query.strip().strip(">").strip().lower()
     if not cleaned:
         return df.withColumn("score", F.lit(0))
     scores = [fuzzy_score(cleaned, F.col(c)) for c in columns]
     best = F.least(*scores) if len(scores) > 1 else scores[0]
-    return df.withColumn("score", best).filter("score is not null").orderBy("score")
+    return df.withColumn("score", best).filter("score is not null").orderBy("score", *columns)

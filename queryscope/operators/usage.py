@@ -115,8 +115,10 @@ def latest_state(toggles: DataFrame, key: str = "rule_id") -> DataFrame:
     return toggles.groupBy(key).agg(F.max_by("enabled", F.struct("ts", "event_id")).alias("enabled"))
 
 
-def recent_history(history: DataFrame, n: int = 50) -> DataFrame:
-    return history.orderBy(F.desc("ts"), F.desc("id")).limit(n)
+def recent_history(history: DataFrame, n: int | None = 50) -> DataFrame:
+    """Entries from the newest on; the first ``n`` of them, or all."""
+    newest = history.orderBy(F.desc("ts"), F.desc("id"))
+    return newest if n is None else newest.limit(n)
 
 
 def history_preview(sql: Column) -> Column:
@@ -125,25 +127,41 @@ def history_preview(sql: Column) -> Column:
     return F.when(flat == "", "(empty query)").when(F.length(flat) > 80, F.concat(F.substring(flat, 1, 77), F.lit("..."))).otherwise(flat)
 
 
-def search_history(history: DataFrame, text: str = "", keep: int = 500) -> DataFrame:
-    """The newest ``keep`` non-blank entries whose sql, preview or dialect holds the text."""
-    kept = recent_history(history.filter(F.trim("sql") != "").withColumn("preview", history_preview(F.col("sql"))), keep)
+def search_history(history: DataFrame, text: str = "", keep: int | None = None) -> DataFrame:
+    """All non-blank entries whose sql, preview or dialect holds the text, newest first; ``keep`` shows only the first hits."""
+    found = history.filter(F.trim("sql") != "").withColumn("preview", history_preview(F.col("sql")))
     needle = text.strip().lower()
-    if not needle:
-        return kept
-    hit = F.lit(False)
-    for name in ("sql", "preview", "dialect"):
-        hit = hit | F.contains(F.lower(name), F.lit(needle))
-    return kept.filter(hit)
+    if needle:
+        hit = F.lit(False)
+        for name in ("sql", "preview", "dialect"):
+            hit = hit | F.coalesce(F.contains(F.lower(name), F.lit(needle)), F.lit(False))
+        found = found.filter(hit)
+    return recent_history(found, keep)
 
 
 # --- fixed values: upper bounds of the latency histogram in milliseconds
 LATENCY_BOUNDS = [5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000]
 
 
-def http_metrics(requests: DataFrame, accuracy: int = 10000) -> DataFrame:
-    """Requests, server errors and latency quantiles by method, path and status."""
-    return requests.groupBy("method", F.substring("path", 1, 128).alias("path"), "status").agg(
+def http_metrics(requests: DataFrame) -> DataFrame:
+    """Requests, server errors and exact latency quantiles by method, path and status.
+
+    Equal durations are folded before the shuffle; a quantile is the first value
+    whose running count reaches its share.
+    """
+    by = ["method", "path", "status"]
+    folded = requests.groupBy(*by, "duration_ms").agg(_count().alias("n"))
+    timed = F.when(F.col("duration_ms").isNotNull(), F.col("n")).otherwise(0)
+    group = W.partitionBy(*by)
+    running = folded.withColumn("upto", F.sum(timed).over(group.orderBy("duration_ms"))).withColumn("total", F.sum(timed).over(group))
+    reaching = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("duration_ms")))
+    errors = F.coalesce(F.sum(F.when(F.col("status") >= 500, F.col("n"))), F.lit(0))
+    return running.groupBy(*by).agg(F.sum("n").alias("requests"), errors.alias("errors"), reaching(0.5).alias("p50"), reaching(0.95).alias("p95"))
+
+
+def http_metrics_sketch(requests: DataFrame, accuracy: int = 10000) -> DataFrame:
+    """As ``http_metrics``, with quantiles from a sketch of bounded size: approximate wherever a group has more values than ``accuracy``."""
+    return requests.groupBy("method", "path", "status").agg(
         _count().alias("requests"),
         F.count_if(F.col("status") >= 500).alias("errors"),
         F.percentile_approx("duration_ms", F.array(F.lit(0.5), F.lit(0.95)), accuracy).alias("q"),
@@ -155,19 +173,19 @@ def latency_histogram(requests: DataFrame) -> DataFrame:
     bound = F.lit(-1)
     for b in reversed(LATENCY_BOUNDS):
         bound = F.when(F.col("duration_ms") <= b, b).otherwise(bound)
-    return requests.groupBy(F.substring("path", 1, 128).alias("path"), bound.alias("le")).agg(_count().alias("requests"))
+    return requests.groupBy("path", bound.alias("le")).agg(_count().alias("requests"))
 
 
 def log_counts(logs: DataFrame) -> DataFrame:
     return logs.groupBy("level", "logger").agg(_count().alias("count"))
 
 
-def log_alerts(logs: DataFrame) -> DataFrame:
-    """Error and critical log rows as alerts with a short summary."""
+def log_alerts(logs: DataFrame, summary: int = 96, detail: int = 500) -> DataFrame:
+    """Error and critical log rows as alerts; an alert shows the first ``summary`` and ``detail`` characters of its message."""
     severity = F.when(F.col("level") == "CRITICAL", "critical").when(F.col("level") == "ERROR", "error")
     return logs.filter(F.col("level").isin("ERROR", "CRITICAL")).select(
         "event_id", "ts", severity.alias("severity"), "logger",
-        F.substring("message", 1, 96).alias("summary"), F.substring("message", 1, 500).alias("detail"),
+        F.substring("message", 1, summary).alias("summary"), F.substring("message", 1, detail).alias("detail"),
     )
 
 
@@ -186,27 +204,35 @@ def rate_limit(requests: DataFrame, limit: int = 100, window_s: float = 60.0, ov
     streamed in Arrow batches; the only state is the accepted times still in the
     window (at most ``limit``), so a key of any size fits.
     """
-    per_key = dict(overrides or {})
     schema = T.StructType(requests.schema.fields + [T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.IntegerType())])
+    span = round(window_s * 1_000_000)
+    caps = F.create_map(*[F.lit(x) for k, v in (overrides or {}).items() for x in (str(k), int(v))]) if overrides else F.lit(None).cast("map<string,int>")
+    own = F.coalesce(F.try_element_at(caps, F.col("key").cast("string")), F.lit(limit)).cast("int")
+    # after a gap of a whole window nothing is held, so what follows is decided on its own
+    order = W.partitionBy("key").orderBy("ts", "event_id")
+    marked = requests.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("__cap", own)
+    fresh = F.coalesce(F.col("__us") - F.lag("__us").over(order) >= span, F.lit(True))
+    marked = marked.withColumn("__fresh", fresh)
+    marked = marked.withColumn("__part", F.max(F.when(F.col("__fresh"), F.struct("__us", "event_id"))).over(order.rowsBetween(W.unboundedPreceding, 0)))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, held, cap = object(), deque(), limit
+        held = deque()
         for batch in batches:
-            seconds = pd.to_datetime(batch["ts"], utc=True).astype("datetime64[us, UTC]").astype("int64").to_numpy() / 1e6
             allowed, remaining = [], []
-            for key, at in zip(batch["key"].to_numpy(), seconds):
-                if key != current:
-                    current, held, cap = key, deque(), per_key.get(str(key), limit)
-                while held and held[0] <= at - window_s:
+            for first, at, cap in zip(batch["__fresh"], batch["__us"], batch["__cap"]):
+                if first:
+                    held = deque()
+                while held and held[0] <= at - span:
                     held.popleft()
                 ok = len(held) < cap
                 if ok:
                     held.append(at)
                 allowed.append(ok)
                 remaining.append(max(0, cap - len(held)))
-            yield batch.assign(allowed=allowed, remaining=pd.Series(remaining, index=batch.index, dtype="int32"))
+            out = batch.drop(columns=["__fresh", "__us", "__cap", "__part"])
+            yield out.assign(allowed=allowed, remaining=pd.Series(remaining, index=batch.index, dtype="int32"))
 
-    ordered = requests.repartition("key").sortWithinPartitions("key", "ts", "event_id")
+    ordered = marked.repartition("key", "__part").sortWithinPartitions("key", "__part", "ts", "event_id")
     return ordered.mapInPandas(decide, schema)
 
 
@@ -229,14 +255,10 @@ def audit_recent(audit: DataFrame, n: int = 50) -> DataFrame:
     return audit.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
 
 
-def audit_retained(audit: DataFrame, cap: int = 10000) -> DataFrame:
-    """What a log keeps that drops its oldest half each time it grows past ``cap``."""
-    half = cap // 2
-    total = audit.agg(_count()).scalar()
-    kept = F.when(total <= cap, total).otherwise((cap - half + 1) + (total - cap - 1) % half)
-    newest = audit_recent(audit, cap)  # at most `cap` rows are numbered below
-    order = W.orderBy(F.desc("ts"), F.desc("event_id"))
-    return newest.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= kept).drop("__n")
+def audit_retained(audit: DataFrame, days: int = 90) -> DataFrame:
+    """The rows of the last ``days`` days up to the newest one."""
+    newest = audit.agg(F.max("ts")).scalar()
+    return audit.filter(F.col("ts") > newest - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, now: Column, ttl: int = 3600) -> DataFrame:

@@ -145,7 +145,7 @@ def clause_totals(usage: DataFrame) -> DataFrame:
 
 
 def statement_at(points: DataFrame, statements: DataFrame, scripts: DataFrame) -> DataFrame:
-    """The statement at each (script_id, off), else the whole script.
+    """The points with the statement at their (script_id, off), else the whole script; equal points and other columns stay.
 
     Offsets are cut into slices and each statement is listed under the slices it
     covers, so a point meets only the statements near it.
@@ -155,12 +155,11 @@ def statement_at(points: DataFrame, statements: DataFrame, scripts: DataFrame) -
         "script_id", c("stmt_no").alias("hit_no"), "start_off", "end_off", "stmt",
         F.explode(F.sequence(F.floor(c("start_off") / width), F.floor(c("end_off") / width))).alias("slice"),
     )
-    near = points.withColumn("slice", F.floor(c("off") / width)).join(spans, ["script_id", "slice"], "left")
+    near = points.select("script_id", "off").distinct().withColumn("slice", F.floor(c("off") / width)).join(spans, ["script_id", "slice"], "left")
     inside = (c("start_off") <= c("off")) & (c("off") <= c("end_off"))
     best = near.groupBy("script_id", "off").agg(F.min_by(F.when(inside, F.struct("hit_no", "stmt")), F.when(inside, c("hit_no"))).alias("s"))
-    return best.join(scripts.select("script_id", "sql"), "script_id").select(
-        "script_id", "off", c("s.hit_no").alias("stmt_no"), F.coalesce("s.stmt", "sql").alias("stmt")
-    )
+    found = points.join(best, ["script_id", "off"], "left").join(scripts.select("script_id", "sql"), "script_id")
+    return found.select(*points.columns, c("s.hit_no").alias("stmt_no"), F.coalesce("s.stmt", "sql").alias("stmt"))
 
 
 def check_schema(tokens: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -41,11 +41,12 @@ def append_findings(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("severity").parquet(path)
 
 
-def query_findings(spark: SparkSession, path: str, rule: str | None = None, severity: str | None = None, limit: int = 100) -> DataFrame:
-    """Newest stored findings; a severity reads only its own folder."""
+def query_findings(spark: SparkSession, path: str, rule: str | None = None, severity: str | None = None, limit: int | None = None) -> DataFrame:
+    """Stored findings, newest first; a severity reads only its own folder, ``limit`` keeps the newest."""
     df = spark.read.parquet(path)
     if severity:
         df = df.filter(F.col("severity") == severity.upper())
     if rule:
         df = df.filter(F.col("rule_id") == rule)
-    return df.orderBy(F.desc("created_at"), F.asc("sql_hash"), F.asc("line"), F.asc("col")).limit(limit)
+    df = df.orderBy(F.desc("created_at"), F.asc("sql_hash"), F.asc("line"), F.asc("col"))
+    return df if limit is None else df.limit(limit)

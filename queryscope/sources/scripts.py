@@ -42,6 +42,13 @@ def _is_file(spark: SparkSession, target: str) -> bool | None:
     return bool(fs.getFileStatus(path).isFile())
 
 
+def _glob_regex(glob: str) -> str:
+    """A pattern for whole paths: ``**/`` is any number of folders, ``*`` and ``?`` stay inside one name."""
+    marks = {"**/": "(?:[^/]+/)*", "*": "[^/]*", "?": "[^/]"}
+    parts = re.split(r"(\*\*/|\*|\?|\[[^]]*\])", re.sub("^file:/+", "/", glob))
+    return "(^|/)" + "".join(marks.get(p) or (p if p.startswith("[") else re.escape(p)) for p in parts).lstrip("/") + "$"
+
+
 def scan_scripts(spark: SparkSession, targets: Sequence[str], excludes: Sequence[str] = (), dialect: str = "duckdb") -> DataFrame:
     """``scripts`` from folders (every ``*.sql`` below), files or globs.
 
@@ -53,10 +60,12 @@ def scan_scripts(spark: SparkSession, targets: Sequence[str], excludes: Sequence
     for target in targets:
         reader = spark.read.format("binaryFile")
         if any(ch in target for ch in "*?["):
-            root, _, tail = target.partition("**/")
-            if tail:
-                reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", tail)
-                target = root or "."
+            root, below, _ = target.partition("**/")
+            last = target.rpartition("/")[2]
+            reader = reader.option("pathGlobFilter", last if "." in last else "*.sql")
+            if below:  # listed below the fixed part, then the whole path must fit
+                frames.append(reader.option("recursiveFileLookup", "true").load(root or ".").select("path", "content").filter(F.col("path").rlike(_glob_regex(target))))
+                continue
         else:
             kind = _is_file(spark, target)
             if kind is None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from queryscope.session import can_checkpoint
+from queryscope.session import shared_folder
 
 # --- fixed values: column names that hint at a time
 TIME_HINTS = ["date", "dt", "day", "created_at", "updated_at", "timestamp"]
@@ -86,15 +86,16 @@ def render_inserts(df: DataFrame, name: str, key: str, batch: int = 500) -> Data
 
     Rows are range-partitioned by key and numbered inside their part; a part's
     first batch starts where the counts of the parts before it end, so no task
-    sees more than its own rows. ``key`` must be unique. The range is stored once
-    (checkpoint) because its two readers must see the same parts.
+    sees more than its own rows. ``key`` must be unique. The parts are stored in the
+    shared folder because their two readers must see the same ones.
     """
     cols = ", ".join(quote_name(f.name) for f in df.schema.fields)
     row = F.concat(F.lit("  ("), F.concat_ws(", ", *[literal(f) for f in df.schema.fields]), F.lit(")"))
     rows = df.select(F.col(key).alias("__k"), row.alias("__row"))
     ranged = rows.repartitionByRange("__k").withColumn("__part", F.spark_partition_id())
-    if can_checkpoint(df.sparkSession):
-        ranged = ranged.checkpoint()
+    path = shared_folder(df.sparkSession, "inserts")
+    ranged.write.parquet(path)
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
     placed = ranged.join(starts, "__part")  # one row per part

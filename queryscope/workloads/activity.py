@@ -95,7 +95,7 @@ def recent_history(spark, sf_dir):
 
 @query(
     "search_history",
-    f"SELECT id, ts, dialect FROM (SELECT * FROM {I.HISTORY} WHERE trim(sql) <> '' ORDER BY ts DESC, id DESC LIMIT 500) WHERE contains(lower(sql), 'tion')",
+    f"SELECT id, ts, dialect FROM {I.HISTORY} WHERE trim(sql) <> '' AND contains(lower(sql), 'tion')",
 )
 def search_history(spark, sf_dir):
     return U.search_history(I.history(spark, sf_dir), " TION ").select("id", "ts", "dialect")
@@ -107,7 +107,7 @@ def search_history(spark, sf_dir):
     f"quantile_disc(duration_ms, 0.95) AS p95 FROM {I.HTTP} GROUP BY 1, 2, 3",
 )
 def http_metrics(spark, sf_dir):
-    return U.http_metrics(I.http_log(spark, sf_dir), accuracy=1_000_000)
+    return U.http_metrics(I.http_log(spark, sf_dir))
 
 
 @query(
@@ -144,9 +144,10 @@ def dedup_alerts(spark, sf_dir):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("opened_at", F.col("opened_at").cast("timestamp_ntz"))
 
 
-@query("rate_limit")
+@query("rate_limit", I.limiter("CASE WHEN user_id = 7 THEN 1 ELSE 3 END") + "SELECT CAST(user_id AS VARCHAR) AS key, ts, event_id, allowed, CAST(cap - len(held) AS INTEGER) AS remaining FROM r")
 def rate_limit(spark, sf_dir):
-    return U.rate_limit(I.requests(spark, sf_dir), limit=3, window_s=6 * 3600.0, overrides={"7": 1})
+    out = U.rate_limit(I.requests(spark, sf_dir), limit=3, window_s=6 * 3600.0, overrides={"7": 1})
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(
@@ -165,11 +166,10 @@ def audit_recent(spark, sf_dir):
 
 @query(
     "audit_retained",
-    "WITH n AS (SELECT count(*) AS t FROM events), k AS (SELECT CASE WHEN t <= 600 THEN t ELSE 301 + (t - 601) % 300 END AS keep FROM n) "
-    "SELECT event_id, ts FROM (SELECT event_id, ts, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn FROM events) JOIN k ON rn <= keep",
+    "SELECT event_id, ts FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY",
 )
 def audit_retained(spark, sf_dir):
-    return U.audit_retained(table(spark, sf_dir, "events").select("event_id", "ts"), cap=600)
+    return U.audit_retained(table(spark, sf_dir, "events").select("event_id", "ts"), days=7)
 
 
 _HASH = "sha256('duckdb|' || o_orderpriority || o_orderstatus || o_custkey % 50)"

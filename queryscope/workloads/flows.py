@@ -98,7 +98,7 @@ def query_findings(spark, sf_dir):
     scripts = C.corpus(spark, sf_dir)
     path = _folder(spark, "findings") + "/store"
     records.append_findings(records.findings_audit_rows(lint.lint_corpus(scripts, dedup=False), scripts, "r1", 1700000000), path)
-    found = records.query_findings(spark, path, "SQL-SARG-001", "high", limit=1_000_000)
+    found = records.query_findings(spark, path, "SQL-SARG-001", "high")
     return found.groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -158,7 +158,7 @@ def stream_sessions(spark, sf_dir):
     return out.withColumn("started", F.col("started").cast("timestamp_ntz")).withColumn("ended", F.col("ended").cast("timestamp_ntz"))
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", I.limiter("3") + "SELECT CAST(user_id AS VARCHAR) AS key, event_id, allowed FROM r")
 def stream_rate_limit(spark, sf_dir):
     return _drain(spark, ST.stream_rate_limit(_stream(spark, I.requests(spark, sf_dir), "requests"), 3, 6 * 3600.0), "limit")
 

@@ -150,3 +150,13 @@ CLAIMS = (
     f"{_PATHS_SQL}[c_nationkey % 10 + 1] AS path, {_NEEDED_SQL}[c_nationkey % 10 + 1] AS required_role, "
     "['read', 'write', 'delete', 'admin'][c_custkey % 4 + 1] AS action FROM customer)"
 )
+
+
+def limiter(cap: str) -> str:
+    """Start of a DuckDB text with r(user_id, rn, ts, event_id, cap, held, allowed): each request after the one before it, and the accepted times still in its window of six hours."""
+    return (
+        f"WITH RECURSIVE e AS (SELECT user_id, ts, event_id, {cap} AS cap, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), "
+        "r(user_id, rn, ts, event_id, cap, held, allowed) AS (SELECT user_id, rn, ts, event_id, cap, [ts], true FROM e WHERE rn = 1 UNION ALL "
+        "SELECT user_id, rn, ts, event_id, cap, CASE WHEN len(k) < cap THEN list_append(k, ts) ELSE k END, len(k) < cap FROM "
+        "(SELECT e.user_id, e.rn, e.ts, e.event_id, e.cap, list_filter(r.held, lambda t: t > e.ts - INTERVAL 6 HOUR) AS k FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)) "
+    )

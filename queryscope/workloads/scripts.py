@@ -102,7 +102,7 @@ def statement_at(spark, sf_dir):
 
 
 def _detect_sql(col):
-    whens = " ".join(f"WHEN regexp_matches(substr({col}, 1, 10000), '(?i){p}') THEN '{n}'".replace("N'[^']*'", "N''[^'']*''") for n, p in L.DIALECT_SIGNATURES)
+    whens = " ".join(f"WHEN regexp_matches({col}, '(?i){p}') THEN '{n}'".replace("N'[^']*'", "N''[^'']*''") for n, p in L.DIALECT_SIGNATURES)
     return f"CASE WHEN trim({col}) = '' THEN 'duckdb' {whens} ELSE 'duckdb' END"
 
 
