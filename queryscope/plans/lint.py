@@ -234,7 +234,7 @@ def find(annotated: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFra
 
 
 def fingerprint(dialect: Column, sql: Column, sep: str = "::") -> Column:
-    return F.sha2(F.concat(F.coalesce(dialect, F.lit("")), F.lit(sep), sql), 256)
+    return F.sha2(F.concat(F.coalesce(dialect, F.lit("")), F.lit(sep), F.coalesce(sql, F.lit(""))), 256)
 
 
 def distinct_scripts(scripts: DataFrame) -> DataFrame:
@@ -252,17 +252,32 @@ def annotate_scripts(scripts: DataFrame, rules: Sequence[Rule] | None = None) ->
     return annotate(tokenize(scripts), None if rules is None else anchors_of(rules))
 
 
+COPY_PARTS = 16
+
+
+def to_copies(ids: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows found per distinct text (fp) for every (fp, script_id) that holds it.
+
+    The copies of a text are dealt over ``COPY_PARTS`` parts by their own id, and the few
+    rows per text are repeated in each, so a text that is a third of a log is no single task.
+    """
+    part = "copy_part"
+    dealt = ids.withColumn(part, F.pmod(F.xxhash64("script_id"), F.lit(COPY_PARTS)).cast("int"))
+    repeated = found.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(COPY_PARTS - 1))))
+    return dealt.join(repeated, ["fp", part], how).drop("fp", part)
+
+
 def lint_corpus(scripts: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, dedup: bool = True) -> DataFrame:
     """Findings for every script.
 
     With ``dedup`` each distinct text is read once and its findings are joined
-    back to all its copies; adaptive skew handling splits a hot copy group.
+    back to all its copies.
     """
     if not dedup:
         return find(annotate_scripts(scripts, rules), rules)
     ids = scripts.select(fingerprint(c("dialect"), c("sql")).alias("fp"), "script_id")
     found = find(annotate_scripts(distinct_scripts(scripts), rules), rules).withColumnRenamed("script_id", "fp")
-    return ids.join(found, "fp").drop("fp")
+    return to_copies(ids, found)
 
 
 def filter_findings(

@@ -61,12 +61,19 @@ def risk_score(tokens: DataFrame) -> DataFrame:
 
 
 def score_corpus(scripts: DataFrame, dedup: bool = True) -> DataFrame:
-    """Scores of every script; each distinct text is read once."""
+    """Scores of every script, an empty one too; each distinct text is read once."""
     if not dedup:
-        return risk_score(lint.annotate_scripts(scripts))
+        return _for_all(scripts.select("script_id").join(risk_score(lint.annotate_scripts(scripts)), "script_id", "left"))
     ids = scripts.select(lint.fingerprint(c("dialect"), c("sql")).alias("fp"), "script_id")
     scores = risk_score(lint.annotate_scripts(lint.distinct_scripts(scripts))).withColumnRenamed("script_id", "fp")
-    return ids.join(scores, "fp").drop("fp")
+    return _for_all(lint.to_copies(ids, scores, "left"))
+
+
+def _for_all(scores: DataFrame) -> DataFrame:
+    """Scripts without a token have no risk."""
+    texts = {"risk_level": "LOW", "scan_complexity": "O(N)", "explanation": "no risk found"}
+    numbers = {n: 0 for n in ("risk_score", "join_risk", "sort_risk", "sarg_risk", "depth_bonus")}
+    return scores.fillna({**texts, **numbers})
 
 
 # --- cost ---------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from queryscope.functions.text import detect_dialect
 from queryscope.operators import remedies, similarity, usage
+from queryscope.plans import lint, score
 from queryscope.plans.lineage import statement_at
 from queryscope.sources.scripts import scan_scripts
 
@@ -66,3 +67,24 @@ def test_exact_quantiles(spark):
     got = {r.path[-1]: r for r in usage.http_metrics(df).collect()}
     assert (got["0"].requests, got["0"].errors, got["0"].p50, got["0"].p95) == (50, 0, 50.0, 96.0)
     assert (got["1"].errors, got["1"].p50, got["1"].p95) == (50, 49.0, 95.0) and got["e"].p50 is None
+
+
+def test_empty_scripts_have_a_score(spark):
+    df = spark.createDataFrame([(1, "duckdb", ""), (2, "duckdb", None), (3, "duckdb", "SELECT * FROM a CROSS JOIN b"), (4, "duckdb", "SELECT * FROM a CROSS JOIN b")], "script_id long, dialect string, sql string")
+    for dedup in (True, False):
+        got = {r.script_id: (r.risk_score, r.risk_level, r.scan_complexity) for r in score.score_corpus(df, dedup).collect()}
+        assert got == {1: (0, "LOW", "O(N)"), 2: (0, "LOW", "O(N)"), 3: (50, "HIGH", "O(N*M)"), 4: (50, "HIGH", "O(N*M)")}
+
+
+def test_copies_of_a_hot_text_are_dealt(spark):
+    ids = spark.range(3000).select(F.when(F.col("id") < 1000, "hot").otherwise(F.col("id").cast("string")).alias("fp"), F.col("id").alias("script_id"))
+    found = ids.select("fp").distinct().withColumn("n", F.lit(1))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = lint.to_copies(ids, found).withColumn("part", F.spark_partition_id())
+        sizes = [r["count"] for r in out.filter("script_id < 1000").groupBy("part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 1000 and max(sizes) < 600
