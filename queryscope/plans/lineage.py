@@ -39,8 +39,8 @@ def table_refs(tokens: DataFrame) -> DataFrame:
 
 
 def column_refs(tokens: DataFrame) -> DataFrame:
-    """Columns per statement and table: qualified ones on the table of that name,
-    the others on the first table of the statement."""
+    """Columns per statement and table: qualified ones on the table of that name or
+    alias in any case, the others on the first table of the statement."""
     pos_w = W.partitionBy("script_id", "stmt_no").orderBy("pos")
     flagged = tokens.withColumn("is_table", table_names(tokens))
     flagged = flagged.withColumns({"t2": F.lag("is_table", 2).over(pos_w), "t4": F.lag("is_table", 4).over(pos_w)})
@@ -52,7 +52,8 @@ def column_refs(tokens: DataFrame) -> DataFrame:
     tables = table_refs(tokens)
     first = tables.groupBy("script_id", "stmt_no").agg(F.min_by(F.struct("name", "schema"), "pos").alias("t"))
     keys = ["script_id", "stmt_no"]
-    qualified = cols.filter("qualifier is not null").join(tables.withColumn("qualifier", c("name")), [*keys, "qualifier"])
+    called = _named(tokens).select(*keys, "name", "schema", F.explode(F.array_compact(F.array(F.lower("name"), F.lower("alias")))).alias("q")).distinct()
+    qualified = cols.filter("qualifier is not null").withColumn("q", F.lower("qualifier")).join(called, [*keys, "q"])
     bare = cols.filter("qualifier is null").join(first, keys)
     return qualified.select(*keys, "name", "schema", "column").unionByName(bare.select(*keys, "t.name", "t.schema", "column")).distinct()
 

@@ -154,11 +154,14 @@ def rewrite_patches(scripts: DataFrame) -> DataFrame:
 
 
 def apply_patches(scripts: DataFrame, patches: DataFrame) -> DataFrame:
-    """Edit from the last place to the first; an edit that overlaps a later one waits for the next run.
+    """Edit from the last place to the first. An edit inside a larger one is left out, since
+    its place goes with that; one that overlaps a later edit in part waits for the next run.
 
     The edits of a script are few and smaller than its text, which is one row already.
     """
     edits = patches.groupBy("script_id").agg(F.sort_array(F.flatten(F.collect_list("edits")), asc=False).alias("edits"))
+    inside = lambda e, o: (o["start_off"] <= e["start_off"]) & (e["end_off"] <= o["end_off"]) & ((o["start_off"] < e["start_off"]) | (e["end_off"] < o["end_off"]))
+    edits = edits.select("script_id", F.filter("edits", lambda e: ~F.exists("edits", lambda o: inside(e, o))).alias("edits"))
     joined = scripts.join(edits, "script_id", "left")
     start = F.struct(c("sql").alias("sql"), F.length("sql").alias("free"))
     kind = "struct<sql:string,free:int>"

@@ -88,3 +88,21 @@ def test_copies_of_a_hot_text_are_dealt(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(sizes) == 1000 and max(sizes) < 600
+
+
+def test_columns_behind_an_alias_are_checked(spark):
+    from queryscope.plans.lineage import check_schema
+
+    df = spark.createDataFrame([(1, "duckdb", "SELECT o.nope, O.id FROM orders o"), (2, "duckdb", "SELECT o.id FROM orders AS o")], "script_id long, dialect string, sql string")
+    catalog = spark.createDataFrame([("public", "orders", "id")], "schema string, table string, column string")
+    got = [(r.script_id, r.kind, r.column) for r in check_schema(lint.annotate_scripts(df), catalog).collect()]
+    assert got == [(1, "column", "nope")]
+
+
+def test_rewriting_twice_changes_nothing(spark):
+    from queryscope.plans.rewrite import rewrite_corpus
+
+    df = spark.createDataFrame([(1, "duckdb", "WITH a AS (SELECT * FROM t ORDER BY YEAR(d) = 1996) SELECT * FROM a")], "script_id long, dialect string, sql string")
+    once = spark.createDataFrame(rewrite_corpus(df)[0].select("script_id", "dialect", "sql").collect(), df.schema)
+    assert "ORDER BY" not in once.first().sql
+    assert rewrite_corpus(once)[0].first().sql == once.first().sql
