@@ -9,6 +9,7 @@ from __future__ import annotations
 SEVERITY_RANK = {"LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
 SEVERITY_WEIGHT = {"LOW": 1.0, "MEDIUM": 2.0, "HIGH": 3.5, "CRITICAL": 6.0}
 HEALTH_PENALTY = {"CRITICAL": 25, "HIGH": 18, "MEDIUM": 9, "ERROR": 20}
+HEALTH_TIERS = [(90, "GRADE A"), (70, "NEEDS AUDIT"), (0, "CRITICAL RISK")]
 GATE_RANK = {"any": 1, "low": 1, "medium": 2, "high": 3, "critical": 4}
 SARIF_LEVEL = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning", "LOW": "note"}
 

@@ -1,6 +1,8 @@
 """Risk scores, cost estimates and report aggregates over findings."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -172,7 +174,10 @@ def health_score(findings: DataFrame) -> DataFrame:
     h = c("health")
     letter = F.when(h >= 90, "A").when(h >= 80, "B").when(h >= 65, "C").when(h >= 50, "D").otherwise("F")
     gauge = F.when(h >= 90, "A").when(h >= 80, "B").when(h >= 70, "C").when(h >= 60, "D").otherwise("F")
-    return out.withColumn("letter", letter).withColumn("gauge", gauge)
+    tier = F.lit(None).cast("string")
+    for least, name in reversed(L.HEALTH_TIERS):
+        tier = F.when(h >= least, name).otherwise(tier)
+    return out.withColumns({"letter": letter, "gauge": gauge, "tier": tier})
 
 
 def model_summary(models: DataFrame, findings: DataFrame) -> DataFrame:
@@ -189,15 +194,27 @@ def count_by_rule(findings: DataFrame) -> DataFrame:
 def sarif_results(findings: DataFrame, scripts: DataFrame) -> DataFrame:
     """One SARIF result per finding as JSON text."""
     f = findings.join(scripts.select("script_id", "path"), "script_id")
-    place = F.struct(F.struct(F.struct(c("path").alias("uri")).alias("artifactLocation"), F.struct(c("line").alias("startLine"), c("col").alias("startColumn")).alias("region")).alias("physicalLocation"))
+    place = F.struct(F.struct(F.struct(c("path").alias("uri")).alias("artifactLocation"), F.struct(c("line").alias("startLine"), c("col").alias("startColumn"), F.when(c("snippet") != "", F.struct(c("snippet").alias("text"))).alias("snippet")).alias("region")).alias("physicalLocation"))
     result = F.struct(
-        c("rule_id").alias("ruleId"), F.coalesce(_map(L.SARIF_LEVEL)[c("severity")], F.lit("note")).alias("level"),
+        c("rule_id").alias("ruleId"), F.coalesce(_map(L.SARIF_LEVEL)[F.upper("severity")], F.lit("warning")).alias("level"),
         F.struct(c("message").alias("text")).alias("message"), F.array(place).alias("locations"),
         F.struct(F.concat_ws(":", "rule_id", "path", c("line").cast("string"), c("col").cast("string")).alias("primaryLocationLineHash")).alias("partialFingerprints"),
     )
     return f.select("script_id", "path", F.to_json(result).alias("result"))
 
 
+def sarif_document(spark, rules, tool: str = "queryscope") -> DataFrame:
+    """One row (head, tail) of JSON text: a document is the head, result rows joined by commas, and the tail.
+
+    The head names the tool and describes each rule once, so results of any number of
+    output parts make valid documents of their own.
+    """
+    described = [{"id": r.rule_id, "name": r.title, "shortDescription": {"text": r.title}, "defaultConfiguration": {"level": L.SARIF_LEVEL.get(r.severity, "warning")}} for r in {r.rule_id: r for r in rules}.values()]
+    driver = json.dumps({"name": tool, "rules": described})
+    head = '{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": ' + driver + '}, "results": ['
+    return spark.createDataFrame([(head, "]}]}")], "head string, tail string")
+
+
 REPORT_SCHEMA = "1.0.0"
 
 

@@ -416,7 +416,7 @@ def quality_gate(spark, sf_dir):
     return S.quality_gate(lint.find(t), S.risk_score(t), min_severity="high", fail_on="critical")
 
 
-@query("health_score", _WITH + "SELECT CAST(100 - least(sum(CASE severity WHEN 'CRITICAL' THEN 25 WHEN 'HIGH' THEN 18 WHEN 'MEDIUM' THEN 9 ELSE 0 END), 50) AS INTEGER) AS health, 'D' AS letter, 'F' AS gauge FROM found")
+@query("health_score", _WITH + "SELECT CAST(100 - least(sum(CASE severity WHEN 'CRITICAL' THEN 25 WHEN 'HIGH' THEN 18 WHEN 'MEDIUM' THEN 9 ELSE 0 END), 50) AS INTEGER) AS health, 'D' AS letter, 'F' AS gauge, 'CRITICAL RISK' AS tier FROM found")
 def health_score(spark, sf_dir):
     return S.health_score(_core(spark, sf_dir))
 

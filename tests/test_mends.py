@@ -106,3 +106,22 @@ def test_rewriting_twice_changes_nothing(spark):
     once = spark.createDataFrame(rewrite_corpus(df)[0].select("script_id", "dialect", "sql").collect(), df.schema)
     assert "ORDER BY" not in once.first().sql
     assert rewrite_corpus(once)[0].first().sql == once.first().sql
+
+
+def test_health_tiers(spark):
+    tiers = {}
+    for n, name in ((0, "GRADE A"), (2, "NEEDS AUDIT"), (9, "CRITICAL RISK")):
+        found = spark.createDataFrame([("MEDIUM",)] * n, "severity string")
+        tiers[name] = score.health_score(found).first().tier
+    assert all(k == v for k, v in tiers.items())
+
+
+def test_sarif_document_is_whole(spark):
+    import json
+
+    df = spark.createDataFrame([(1, "duckdb", "SELECT * FROM a CROSS JOIN b", "x/one.sql")], "script_id long, dialect string, sql string, path string")
+    head, tail = score.sarif_document(spark, lint.DEFAULT_RULES).first()
+    rows = [r.result for r in score.sarif_results(lint.lint_corpus(df), df).collect()]
+    run = json.loads(head + ",".join(rows) + tail)["runs"][0]
+    assert {r["ruleId"] for r in run["results"]} <= {r["id"] for r in run["tool"]["driver"]["rules"]} and run["results"]
+    assert run["results"][0]["locations"][0]["physicalLocation"]["region"]["snippet"]["text"]
