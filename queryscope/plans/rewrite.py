@@ -160,7 +160,11 @@ def apply_patches(scripts: DataFrame, patches: DataFrame) -> DataFrame:
     The edits of a script are few and smaller than its text, which is one row already.
     """
     edits = patches.groupBy("script_id").agg(F.sort_array(F.flatten(F.collect_list("edits")), asc=False).alias("edits"))
-    inside = lambda e, o: (o["start_off"] <= e["start_off"]) & (e["end_off"] <= o["end_off"]) & ((o["start_off"] < e["start_off"]) | (e["end_off"] < o["end_off"]))
+    def inside(e, o):  # an insertion at the edge of an edit is not inside it
+        within = (o["start_off"] <= e["start_off"]) & (e["end_off"] <= o["end_off"])
+        before, after = o["start_off"] < e["start_off"], e["end_off"] < o["end_off"]
+        return within & F.when(e["start_off"] == e["end_off"], before & after).otherwise(before | after)
+
     edits = edits.select("script_id", F.filter("edits", lambda e: ~F.exists("edits", lambda o: inside(e, o))).alias("edits"))
     joined = scripts.join(edits, "script_id", "left")
     start = F.struct(c("sql").alias("sql"), F.length("sql").alias("free"))
