@@ -8,8 +8,9 @@ handed to the tasks that score. Its size has a bound: at most ``2 ** HASH_BITS``
 entries (12 bytes) for each order, whatever the corpus; of grams with equal hashes
 the more frequent one is stored.
 
-A document outside its language's band, ``WIDTH`` robust deviations around the
-median log perplexity on both sides, is rejected. A null text has no words; a null
+A document outside its language's band is rejected. The band reaches ``WIDTH`` robust
+deviations from the median log perplexity to either side, and each side has its own
+deviation, measured over all documents of the language. A null text has no words; a null
 language is a language of its own. Other columns are not read.
 """
 from __future__ import annotations
@@ -23,8 +24,8 @@ from queryscope.llm.common import stored, text_runs
 
 ORDER = 4
 HASH_BITS = 24
-WIDTH = 10.0
-LEAST_SPREAD = 0.05  # a band is never narrower than WIDTH times this
+WIDTH = 6.0
+QUARTILE = 0.6745  # standard deviations from the median to a quartile
 START, END = "\x02", "\x03"
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
@@ -263,12 +264,15 @@ def measure(docs: DataFrame, table: dict, order: int = ORDER, bits: int = HASH_B
 
 
 def bands(measured: DataFrame, width: float = WIDTH) -> DataFrame:
-    """(lang, low, high) of the log perplexity, from all documents with words; thousandths keep the exact quantiles small."""
-    x = measured.filter("n_words > 0").select("lang", F.round("log_ppl", 3).alias("x"))
-    middle = x.groupBy("lang").agg(F.percentile("x", F.lit(0.5)).alias("mid"))
-    off = x.join(middle, "lang").select("lang", "mid", F.round(F.abs(F.col("x") - F.col("mid")), 3).alias("off"))
-    spread = off.groupBy("lang").agg(F.first("mid").alias("mid"), (F.greatest(F.percentile("off", F.lit(0.5)) / 0.6745, F.lit(LEAST_SPREAD)) * width).alias("reach"))
-    return spread.select("lang", (F.col("mid") - F.col("reach")).alias("low"), (F.col("mid") + F.col("reach")).alias("high"))
+    """(lang, low, high) of the log perplexity, from all documents with words; thousandths keep the exact quantiles small.
+
+    Copies count once: a text that makes up half of a language does not set its spread to nothing.
+    """
+    once = measured.filter("n_words > 0").select("lang", "n_words", "word_chars", "n_symbols", F.round("log_ppl", 3).alias("x")).distinct()
+    q = once.groupBy("lang").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    low, mid, high = (F.col("q")[i] for i in range(3))
+    rounding = 0.0005 + 1e-9
+    return q.select("lang", (mid - (mid - low) / QUARTILE * width - rounding).alias("low"), (mid + (high - mid) / QUARTILE * width + rounding).alias("high"))
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, bits: int = HASH_BITS, width: float = WIDTH) -> DataFrame:

@@ -1,5 +1,6 @@
 """Quality rules against plain versions of the counts and of the Kneser-Ney model."""
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -93,6 +94,26 @@ def test_junk_is_out_of_its_band(spark, small):
     assert sum(r.kept for r in clean) > 0.99 * len(clean)
 
 
+def test_other_languages_and_shuffled_letters_are_out_of_the_band(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    rnd, added = random.Random(5), []
+    long = [r for r in docs.filter("lang is not null").orderBy("doc_id").collect() if 60 <= len((r.text or "").split()) <= 500]
+    for lang in ("de", "es", "fr"):
+        added += [(-1 - len(added) - i, r.text, "en") for i, r in enumerate([r for r in long if r.lang == lang][:5])]
+    added += [(-101 - i, " ".join("".join(rnd.sample(w, len(w))) for w in r.text.split()), "en") for i, r in enumerate([r for r in long if r.lang == "en"][:5])]
+    out = {r.doc_id: r for r in quality.judge(docs.union(spark.createDataFrame(added, docs.schema))).collect()}
+    # a Spanish list in narrow columns repeats its own grams, which are in the model
+    assert len(added) == 20 and sum(out[k].in_band for k, _, _ in added) <= 1
+
+
+def test_bands_follow_each_side_and_copies_count_once(spark):
+    rows = [("a", 300 + i, 1.0 + i / 1000) for i in range(-100, 1)] + [("a", 300 + i, 1.0 + i / 100) for i in range(1, 101)] + [("a", 500, 1.0)] * 5000 + [("b", 9, 2.3456)] * 3
+    df = spark.createDataFrame(rows, "lang string, n_words int, log_ppl double").selectExpr("lang", "n_words", "n_words word_chars", "0 n_symbols", "log_ppl")
+    got = {r.lang: r for r in quality.bands(df, 2.0).collect()}
+    assert abs(got["a"].low - (1 - 0.05 / 0.6745 * 2)) < 0.01 and abs(got["a"].high - (1 + 0.5 / 0.6745 * 2)) < 0.05
+    assert got["b"].low <= 2.3456 <= got["b"].high and got["b"].high - got["b"].low < 0.002
+
+
 def test_stored_hashes_are_sorted_and_bounded(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "text")
     table = quality.arrays(quality.train(docs), bits=8)
