@@ -3,10 +3,12 @@
 The model is over characters: lower-cased words joined by one space, between
 start and end marks. Spark counts the grams of all documents; discounts,
 continuation counts and interpolated probabilities are joins over distinct grams.
-The result is kept as sorted arrays of hashes with one array of values each and
-handed to the tasks that score. Its size has a bound: at most ``2 ** HASH_BITS``
-entries (12 bytes) for each order, whatever the corpus; of grams with equal hashes
-the more frequent one is stored.
+Every gram is kept, under a hash of ``HASH_BITS`` bits. The documents scored are the
+ones counted, so each of their grams is in the model and nothing backs off.
+
+The most frequent grams, at most ``HANDED_OUT``, are sorted arrays that every task
+gets. Grams of a document that are not among them are stored as (hash, count) beside
+the document's own counts, joined with the rest of the model and summed per document.
 
 A document outside its language's band is rejected. The band reaches ``WIDTH`` robust
 deviations from the median log perplexity to either side, and each side has its own
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from queryscope.llm.common import stored, text_runs
 
 ORDER = 4
-HASH_BITS = 24
+HASH_BITS = 63
+HANDED_OUT = 2**22  # grams in the tasks' memory (16 bytes each); the others are joined
 WIDTH = 6.0
 QUARTILE = 0.6745  # standard deviations from the median to a quartile
 START, END = "\x02", "\x03"
@@ -116,16 +119,13 @@ def _discounts(counts: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(order, lang, gram, n, logp, backoff): interpolated log probabilities of seen grams, and the log weight a gram gives as a context.
-
-    ``backoff`` of the empty gram (order 0) is the weight of the uniform part.
-    """
+    """(order, lang, gram, n, logp): interpolated log probabilities of all grams of the highest order."""
     counts = {order: stored(count_grams(docs, order), "grams")}
     for k in range(order - 1, 0, -1):  # how many grams a shorter one continues
         counts[k] = counts[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
     shared = lambda: F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     size = counts[1].groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("v"))
-    below, parts, contexts = None, [], []
+    below = None
     for k in range(1, order + 1):
         cut = counts[k].join(_discounts(counts[k]), "lang")
         cut = cut.select("lang", "gram", "n", shared().alias("d"), F.substring("gram", 1, k - 1).alias("ctx"), F.substring("gram", 2, k - 1).alias("suffix"))
@@ -136,19 +136,11 @@ def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
         else:
             seen = seen.join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"])
         below = stored(seen.select("lang", "gram", "n", ((F.col("n") - F.col("d")) / F.col("total") + F.col("w") * F.col("lower")).alias("p")), f"kn-{k}")
-        parts.append(below.select(F.lit(k).alias("order"), "lang", "gram", "n", F.log("p").alias("logp")))
-        weight = F.log("w") if k > 1 else F.log(F.col("w") / F.col("v"))
-        context = context.join(size, "lang") if k == 1 else context
-        contexts.append(context.select(F.lit(k - 1).alias("o"), F.col("lang").alias("l"), F.col("ctx").alias("g"), weight.alias("backoff")))
-    entries, weights = parts[0], contexts[0]
-    for p, c in zip(parts[1:], contexts[1:]):
-        entries, weights = entries.unionByName(p), weights.unionByName(c)
-    on = (F.col("order") == F.col("o")) & (F.col("lang") == F.col("l")) & (F.col("gram") == F.col("g"))
-    return entries.join(weights, on, "full").select(F.coalesce("order", "o").alias("order"), F.coalesce("lang", "l").alias("lang"), F.coalesce("gram", "g").alias("gram"), F.coalesce("n", F.lit(0)).alias("n"), "logp", "backoff")
+    return below.select(F.lit(order).alias("order"), "lang", "gram", "n", F.log("p").alias("logp"))
 
 
-def arrays(model: DataFrame, bits: int = HASH_BITS) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """order -> (sorted hashes, logp, backoff); NaN where a gram is only a context, 0 where it is none."""
+def hashed(model: DataFrame, bits: int = HASH_BITS) -> DataFrame:
+    """(order, slot, n, logp) with one row for each hash."""
 
     def work(batches):
         for b in batches:
@@ -157,42 +149,34 @@ def arrays(model: DataFrame, bits: int = HASH_BITS) -> dict[int, tuple[np.ndarra
             for (k, lang), rows in _by_lang(list(zip(orders, langs))).items():
                 codes = np.frombuffer("".join(grams[i] for i in rows).encode("utf-32-le"), np.uint32).reshape(len(rows), k)
                 out[rows] = slots(lang, codes, bits)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out), *[b.column(i) for i in (3, 4, 5)]], names=["order", "slot", "n", "logp", "backoff"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out), b.column(3), b.column(4)], names=["order", "slot", "n", "logp"])
+
+    rows = model.select("order", "lang", "gram", "n", "logp").mapInArrow(work, "order int, slot long, n long, logp double")
+    return rows.groupBy("order", "slot").agg(F.max(F.struct("n", "logp")).alias("m")).select("order", "slot", "m.n", "m.logp")
+
+
+def least_count(model: DataFrame, most: int) -> int:
+    """The smallest power of two so that at most ``most`` grams have that count or more."""
+    sizes = {r.e: r["count"] for r in model.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).count().collect()}
+    least, total = max(sizes, default=0) + 1, 0
+    while least and (total := total + sizes.get(least - 1, 0)) <= most:
+        least -= 1
+    return 2**least
+
+
+def arrays(model: DataFrame, bits: int = HASH_BITS) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """order -> (sorted hashes, counts, logp)."""
+    return sorted_arrays(hashed(model, bits))
+
 
-    hashed = model.select("order", "lang", "gram", "n", "logp", "backoff").mapInArrow(work, "order int, slot long, n long, logp double, backoff double")
-    best = hashed.groupBy("order", "slot").agg(F.max(F.struct("n", "logp", "backoff")).alias("m"))
-    got = best.select("order", F.col("slot").cast("int").alias("slot"), F.col("m.logp").cast("float").alias("logp"), F.col("m.backoff").cast("float").alias("backoff")).toArrow()
-    orders, slot, logp, back = (got.column(i).to_numpy() for i in range(4))
+def sorted_arrays(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    got = rows.select("order", "slot", "n", "logp").toArrow()
+    orders, slot, n, logp = (got.column(i).to_numpy() for i in range(4))
     out = {}
-    for k in range(ORDER_MAX + 1):
+    for k in np.unique(orders).tolist():
         own = np.flatnonzero(orders == k)
         own = own[np.argsort(slot[own], kind="stable")]
-        out[k] = (slot[own], logp[own], np.nan_to_num(back[own]))
-    return out
-
-
-ORDER_MAX = 8  # longest gram that a model may have
-
-
-def log_probabilities(table: dict, lang: str, codes: np.ndarray, bits: int) -> np.ndarray:
-    """log p of the last symbol of each row after the others: the longest stored gram, backing off from longer ones."""
-    order = codes.shape[1]
-    out, left = np.zeros(len(codes)), np.arange(len(codes))
-    for k in range(order, 0, -1):
-        keys, logp, _ = table[k]
-        if len(keys):
-            h = slots(lang, codes[left, order - k:], bits)
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = (keys[at] == h) & ~np.isnan(logp[at])
-            out[left[hit]] += logp[at[hit]]
-            left = left[~hit]
-        keys, _, back = table[k - 1]
-        if len(left) and len(keys):
-            h = slots(lang, codes[left, order - k:order - 1], bits)
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            out[left] += np.where(keys[at] == h, back[at], 0.0)
-        if not len(left):
-            break
+        out[k] = (slot[own], n[own], logp[own])
     return out
 
 
@@ -221,20 +205,34 @@ def repeated_words(hashes: np.ndarray, lengths: np.ndarray, window: int = WINDOW
     return np.bincount(run[covered], minlength=len(lengths))
 
 
-def measure(docs: DataFrame, table: dict, order: int = ORDER, bits: int = HASH_BITS) -> DataFrame:
-    """(k, lang, counts .., log_ppl) of every row of (k, lang, text), in one pass over the texts."""
+def measure(docs: DataFrame, table: tuple[np.ndarray, np.ndarray], order: int = ORDER, bits: int = HASH_BITS) -> DataFrame:
+    """Every row of (k, lang, text) with its counts, in one pass over the texts.
+
+    ``places`` are the predicted symbols, ``known`` is the sum of log p of those in ``table``
+    (sorted hashes, logp); ``rest`` and ``times`` have the hashes and counts of the others.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    def perplexity(langs, lines):
-        out, model = np.zeros(len(lines)), shared.value
+    def sums(langs, lines):
+        keys, logp = shared.value
+        known, places = np.zeros(len(lines)), np.zeros(len(lines), np.int64)
+        rest, times = [np.empty(0, np.int64)] * len(lines), [np.empty(0, np.int64)] * len(lines)
         for lang, rows in _by_lang(langs).items():
             at = [i for i in rows if lines[i]]
-            if at:
-                codes, ends = _coded([lines[i] for i in at], order)
-                which, first, places = _grams(codes, ends, order)
-                logp = log_probabilities(model, lang, codes[first[:, None] + np.arange(order)], bits)[which]
-                out[at] = -np.add.reduceat(logp, np.concatenate([[0], np.cumsum(places)[:-1]])) / places
-        return out
+            if not at:
+                continue
+            codes, ends = _coded([lines[i] for i in at], order)
+            which, first, n = _grams(codes, ends, order)
+            slot = slots(lang, codes[first[:, None] + np.arange(order)], bits).astype(np.int64)
+            near = np.minimum(np.searchsorted(keys, slot), max(len(keys) - 1, 0))
+            hit = keys[near] == slot if len(keys) else np.zeros(len(slot), bool)
+            value = np.where(hit, logp[near], 0.0) if len(keys) else np.zeros(len(slot))
+            starts = np.concatenate([[0], np.cumsum(n)])
+            known[at], places[at] = np.add.reduceat(value[which], starts[:-1]), n
+            if not hit.all():
+                for i, a, z in zip(at, starts[:-1], starts[1:]):
+                    rest[i], times[i] = np.unique(slot[which[a:z][~hit[which[a:z]]]], return_counts=True)
+        return known, places, rest, times
 
     def duplicate_lines(text):
         seen, n = set(), 0
@@ -257,10 +255,23 @@ def measure(docs: DataFrame, table: dict, order: int = ORDER, bits: int = HASH_B
                 lines = [_line(w) for w in words]
                 del words
                 symbols = [sum(map(t.count, SYMBOLS)) for t in texts]
-                columns = [lengths, np.array(chars, np.int64), np.array(symbols, np.int64), np.array([duplicate_lines(t) for t in texts], np.int64), repeated_words(hashes, lengths), perplexity(langs[a:z], lines)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), *map(pa.array, columns)], names=["k", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
+                known, places, rest, times = sums(langs[a:z], lines)
+                columns = [lengths, np.array(chars, np.int64), np.array(symbols, np.int64), np.array([duplicate_lines(t) for t in texts], np.int64), repeated_words(hashes, lengths), known, places]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), *map(pa.array, columns), *(pa.array(x, pa.list_(pa.int64())) for x in (rest, times))], names=["k", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "known", "places", "rest", "times"])
+
+    return docs.mapInArrow(work, "k long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, known double, places long, rest array<long>, times array<long>")
+
 
-    return docs.mapInArrow(work, "k long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double")
+def perplexities(measured: DataFrame, rest: DataFrame | None) -> DataFrame:
+    """Stored rows of ``measure`` with ``log_ppl``; ``rest`` is the part of the model that was not handed out."""
+    logs = F.when(F.col("places") > 0, -F.col("known") / F.col("places")).otherwise(0.0)
+    if rest is None:
+        return measured.drop("rest", "times").select("*", logs.alias("log_ppl"))
+    grams = measured.filter(F.size("rest") > 0).select("row", F.explode(F.arrays_zip("rest", "times")).alias("g")).select("row", "g.rest", "g.times")
+    found = grams.join(rest.select("slot", "logp"), F.col("rest") == F.col("slot"))
+    sums = found.groupBy(F.col("row").alias("r")).agg(F.sum(F.col("times") * F.col("logp")).alias("more"))
+    whole = measured.drop("rest", "times").join(sums, F.col("row") == F.col("r"), "left").drop("r")
+    return stored(whole.withColumn("known", F.col("known") + F.coalesce("more", F.lit(0.0))).select("*", logs.alias("log_ppl")), "measured-whole")
 
 
 def bands(measured: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -275,11 +286,14 @@ def bands(measured: DataFrame, width: float = WIDTH) -> DataFrame:
     return q.select("lang", (mid - (mid - low) / QUARTILE * width - rounding).alias("low"), (mid + (high - mid) / QUARTILE * width + rounding).alias("high"))
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, bits: int = HASH_BITS, width: float = WIDTH) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, bits: int = HASH_BITS, width: float = WIDTH, handed_out: int = HANDED_OUT) -> DataFrame:
     """Per row: the counts, ``base_failed``, ``log_ppl``, ``in_band`` and ``kept``."""
     docs = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text"))
-    table = arrays(train(docs.select("lang", "text"), order), bits)
-    measured = stored(measure(docs, table, order, bits), "measured")
+    model = stored(hashed(train(docs.select("lang", "text"), order), bits), "kn-hashed")
+    least = least_count(model, handed_out)
+    keys, _, logp = sorted_arrays(model.filter(F.col("n") >= least)).get(order, (np.empty(0, np.int64),) * 3)
+    measured = stored(measure(docs, (keys, logp), order, bits).withColumn("row", F.monotonically_increasing_id()), "measured")
+    measured = perplexities(measured, model.filter(F.col("n") < least) if least > 1 else None)
     limits = bands(measured, width).select(F.col("lang").alias("l"), "low", "high")
     out = measured.join(limits, F.col("lang") == F.col("l"), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))

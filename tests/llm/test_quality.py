@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from queryscope.llm import quality, queries
@@ -114,6 +115,26 @@ def test_bands_follow_each_side_and_copies_count_once(spark):
     assert got["b"].low <= 2.3456 <= got["b"].high and got["b"].high - got["b"].low < 0.002
 
 
+def test_no_gram_is_lost_beyond_what_tasks_hold(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("lang in ('de', 'es')").select("doc_id", "text", "lang")
+    docs = docs.union(spark.createDataFrame([(None, "Ein Satz ohne Kennung", "de"), (None, "zwei davon", "de"), (-1, None, "es")], docs.schema))
+    rows = docs.collect()
+    for handed_out in (0, 500):
+        got = quality.judge(docs, handed_out=handed_out).collect()
+        want = [x for lang in ("de", "es") for x in plain_log_ppl([r.text for r in rows if r.lang == lang])]
+        assert len(got) == len(want) and all(abs(a - b) < 1e-9 for a, b in zip(sorted(r.log_ppl for r in got), sorted(want)))
+
+
+def test_two_to_the_24_slots_do_not_mix_grams(spark):
+    codes = np.arange(0x100, 0x100 + 4 * 60000, dtype=np.uint32).reshape(-1, 4)
+    assert len(np.unique(quality.slots("xx", codes, quality.HASH_BITS))) == len(codes)
+
+
+def test_least_count(spark):
+    model = spark.createDataFrame([(n,) for n in [1] * 10 + [2, 3, 3, 5, 9]], "n long")
+    assert [quality.least_count(model, m) for m in (0, 1, 2, 4, 5, 14, 15)] == [16, 8, 4, 4, 2, 2, 1]
+
+
 def test_stored_hashes_are_sorted_and_bounded(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "text")
     table = quality.arrays(quality.train(docs), bits=8)
