@@ -36,3 +36,10 @@ def file_system(uri: str):
     if parts.scheme in ("", "file"):
         return fs.LocalFileSystem(), parts.path
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def unused(df: DataFrame, name: str, taken: list[str] = ()) -> str:
+    """``name``, with underscores until neither ``df`` nor ``taken`` has it in any case."""
+    while name.lower() in {c.lower() for c in [*df.columns, *taken]}:
+        name = f"{name}_"
+    return name

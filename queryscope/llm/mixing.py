@@ -1,13 +1,17 @@
 """Mixing to target weights: token weights raked to marginals, then documents sampled by calibrated probabilities.
 
 Token counts per (source, language, topic) are summed before anything is shuffled.
-Iterative proportional fitting scales the cells to one marginal after the other until
-all agree. A document's probability is its cell's fitted weight over its tokens,
-scaled so that the largest is one: every marginal of the expected sample has its
-target share, and no document is taken twice.
-
-Where empty cells make the marginals contradict each other, the last of ``ROUNDS``
-rounds counts; the marginal named last then has its target shares.
+Iterative proportional fitting scales the cells to one marginal after the other. The
+sample has a stated size, ``keep`` of all tokens, and a cell can give no more than it
+has: its weight stops at its tokens over the sample's size, and what it cannot give is
+raked onto the other cells. A document's probability is its cell's weight over that
+limit, so every marginal of the expected sample has its target share, the expected
+tokens have the stated size, and no document is taken twice. A tiny cell with a large
+target becomes full; it does not shrink the others.
+
+Where marginals contradict each other, or ask for more than there is, the last of
+``ROUNDS`` rounds counts: such values stay full, and the marginal named last has its
+target shares as far as its cells allow.
 
 A null source, language or topic is a value of its own, a null text has no tokens. A
 cell without tokens has probability one. Whether a document is taken follows from a
@@ -15,12 +19,14 @@ hash of its id, so repeated rows share their fate and a lost task decides alike.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from queryscope.llm.common import stored
+from queryscope.llm.common import stored, unused
 
-ROUNDS, TOLERANCE = 24, 1e-9
+# rounds at most; the cells are stored and the last round's largest change is looked at after every STEP rounds
+ROUNDS, STEP, TOLERANCE = 24, 4, 1e-6
+KEEP = 0.75
 MARGINS = ("source", "lang", "topic")
 
 
@@ -55,50 +61,53 @@ def given(table: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
     return found.select("value", (F.col("share") / whole).alias("share"))
 
 
-def rake(table: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Cells with ``weight``: shares of the whole whose marginals are the targets; stored round by round."""
+def rake(table: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(s0, s1, s2, tokens, weight, full): weights whose marginals are the targets and that never pass ``full``.
+
+    Targets join the cells once. A round is one sum per marginal over the folded
+    cells, so no plan holds a broadcast, and each stored step starts a new plan.
+    """
+    if not 0 < keep <= 1:
+        raise ValueError("keep is a share of all tokens")
     whole = table.agg(F.sum("tokens")).first()[0] or 1.0
-    now = table.withColumn("weight", F.col("tokens") / whole)
-    for _ in range(rounds):
-        step = now.withColumn("moved", F.lit(0.0))
-        for column, target in targets.items():
-            sums = step.groupBy(F.col(column).alias("v")).agg(F.sum("weight").alias("has"))
-            scale = sums.join(target, F.col("v") == F.col("value"), "left").select("v", F.coalesce(F.try_divide(F.coalesce("share", F.lit(0.0)), "has"), F.lit(1.0)).alias("by"))
-            step = step.join(scale, F.col(column) == F.col("v"))
-            step = step.select("s0", "s1", "s2", "tokens", (F.col("weight") * F.col("by")).alias("weight"), F.greatest("moved", F.abs(F.col("by") - 1)).alias("moved"))
-        now = stored(step, "mix-round")
+    now = table.withColumns({"full": F.col("tokens") / (whole * keep), "free": F.col("tokens") / whole, "moved": F.lit(0.0)})
+    for column, target in targets.items():
+        t = target.select(F.col("value").alias("v"), F.col("share").alias(f"t_{column}")).hint("shuffle_hash")
+        now = now.join(t, F.col(column) == F.col("v"), "left").drop("v")
+    for done in range(0, rounds, STEP):
+        for _ in range(min(STEP, rounds - done)):
+            now = now.withColumn("moved", F.lit(0.0))
+            for column in targets:
+                has = F.sum(F.least("free", "full")).over(Window.partitionBy(column))
+                now = now.withColumn("by", F.coalesce(F.try_divide(F.coalesce(f"t_{column}", F.lit(0.0)), has), F.lit(1.0)))
+                now = now.withColumns({"free": F.col("free") * F.col("by"), "moved": F.greatest("moved", F.abs(F.col("by") - 1))}).drop("by")
+        now = stored(now, "mix-step")
         if (now.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
             break
-    return now.drop("moved")
+    return now.select("s0", "s1", "s2", "tokens", F.least("free", "full").alias("weight"), "full")
 
 
 def probabilities(fitted: DataFrame) -> DataFrame:
     """(s0, s1, s2, weight, p) of every cell."""
-    rate = F.try_divide("weight", "tokens")
-    top = fitted.agg(F.max(rate)).first()[0] or 1.0
-    return fitted.select("s0", "s1", "s2", "weight", F.coalesce(rate / top, F.lit(1.0)).alias("p"))
+    return fitted.select("s0", "s1", "s2", "weight", F.coalesce(F.try_divide("weight", "full"), F.lit(1.0)).alias("p"))
 
 
-def mixed(docs: DataFrame, topic: Column, powers: dict[str, float], text: str = "text", source: str = "source", lang: str = "lang", salt: str = "mix", key: str = "doc_id") -> tuple[DataFrame, list[str]]:
+def mixed(docs: DataFrame, topic: Column, powers: dict[str, float], text: str = "text", source: str = "source", lang: str = "lang", salt: str = "mix", key: str = "doc_id", keep: float = KEEP) -> tuple[DataFrame, list[str]]:
     """All rows with their columns, then topic, tokens, weight, probability and whether they are sampled; the names of these five.
 
-    ``powers`` gives each of ``MARGINS`` the power of its temperature.
+    ``powers`` gives each of ``MARGINS`` the power of its temperature, ``keep`` the sample's share of all tokens.
+    Names that ``docs`` has, in any case, get underscores.
     """
     value = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    names = [_unused(docs, n) for n in ("s0", "s1", "s2", "tokens")]
-    marked = docs.withColumns(dict(zip(names, (value(F.col(source)), value(F.col(lang)), value(topic), words(F.col(text))))))
-    table = cells(marked.select(*[F.col(a).alias(b) for a, b in zip(names, ("s0", "s1", "s2", "tokens"))]))
+    names: list[str] = []
+    for wanted in ("s0", "s1", "topic", "tokens", "weight", "probability", "sampled", "c0", "c1", "c2"):
+        names.append(unused(docs, wanted, names))
+    own, more, other = names[:4], names[4:7], names[7:]
+    marked = docs.withColumns(dict(zip(own, (value(F.col(source)), value(F.col(lang)), value(topic), words(F.col(text))))))
+    table = cells(marked.select(*[F.col(a).alias(b) for a, b in zip(own, ("s0", "s1", "s2", "tokens"))]))
     columns = dict(zip(MARGINS, ("s0", "s1", "s2")))
-    fitted = probabilities(rake(table, {columns[m]: temperature(table, columns[m], p) for m, p in powers.items()}))
-    more = [_unused(docs, n, names) for n in ("weight", "probability", "sampled")]
-    other = [f"cell_{i}_{names[i]}" for i in range(3)]
+    fitted = probabilities(rake(table, {columns[m]: temperature(table, columns[m], p) for m, p in powers.items()}, keep))
     fitted = fitted.select(*[F.col(f"s{i}").alias(other[i]) for i in range(3)], F.col("weight").alias(more[0]), F.col("p").alias(more[1]))
-    out = marked.join(fitted, [F.col(a) == F.col(b) for a, b in zip(names, other)])
+    out = marked.join(fitted, [F.col(a) == F.col(b) for a, b in zip(own, other)])
     out = out.withColumn(more[2], chance(F.col(key), salt) < F.col(more[1]))
-    return out.select(*docs.columns, names[2], names[3], *more), [names[2], names[3], *more]
-
-
-def _unused(df: DataFrame, name: str, taken: list[str] = ()) -> str:
-    while name.lower() in {c.lower() for c in [*df.columns, *taken]}:
-        name = f"{name}_"
-    return name
+    return out.select(*docs.columns, own[2], own[3], *more), [own[2], own[3], *more]

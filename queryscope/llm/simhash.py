@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from queryscope.llm.common import stored
+from queryscope.llm.common import stored, unused
 from queryscope.llm.components import components
 
 BITS = 64
@@ -100,9 +100,7 @@ def representatives(docs: DataFrame, text: str = "text", words: int = 3, radius:
 
     Rows are numbered as they are read, so ``docs`` must be a stored table.
     """
-    row = "row"
-    while row in docs.columns:
-        row += "_"
+    row = unused(docs, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     first = groups(numbered.select(row, text), row, text, words, radius).filter(F.col(row) == F.col("component_id")).select(row)
     return numbered.join(first, row, "left_semi").select(*docs.columns)

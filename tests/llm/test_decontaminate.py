@@ -6,6 +6,8 @@ import numpy as np
 from queryscope.llm import decontaminate as D
 from queryscope.llm import queries
 
+SMALL = "/root/testdata/sf0.01"
+
 
 def plain_best(item, text):
     """Fewest edits between the item and any part of the text, row by row."""
@@ -69,10 +71,10 @@ def test_edited_passages(spark):
     assert run(spark, docs, items, chars=200) == plain_matches(docs, items)  # several blocks
 
 
-def test_query_over_table(spark, small):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
-    got = sorted(tuple(r) for r in queries.QUERIES["op6_benchmark_matches"](spark, small).collect())
+def test_query_over_table(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    got = sorted(tuple(r) for r in queries.QUERIES["op6_benchmark_matches"](spark, SMALL).collect())
     texts = {k: D.plain(t) for k, t in docs}
     whole = {(k, i) for k, t in texts.items() for i, b in items if D.plain(b) in t}
     assert whole == {(k, i) for k, i, d in got if d == 0} and whole

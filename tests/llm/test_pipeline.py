@@ -6,7 +6,7 @@ from queryscope.llm import decontaminate as D, mixing, queries, simhash, toxicit
 from queryscope.llm.common import stored
 from test_decontaminate import plain_best
 from test_simhash import plain_fp, plain_groups
-from test_tokens import library, plain  # noqa: F401
+from test_token_files import library, plain  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from queryscope.llm import quality, queries
 
+SMALL = "/root/testdata/sf0.01"
+
 W = re.compile("[^\x20\x09-\x0D]+")
 
 
@@ -86,8 +88,8 @@ def test_query_over_table(spark, sf):
             assert abs(exact[d.doc_id] - x) < 1e-4 and abs(r.log_ppl - x) < 0.01 and r.kept == (not r.base_failed and r.in_band)
 
 
-def test_junk_is_out_of_its_band(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").filter("lang = 'en'").select("doc_id", "text", "lang")
+def test_junk_is_out_of_its_band(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("lang = 'en'").select("doc_id", "text", "lang")
     junk = spark.createDataFrame([(-1, " ".join(f"{i * 2654435761 % 2**61:x}" for i in range(60)), "en"), (-2, "qzx jjv wwk xqp " * 2 + " ".join(f"zq{i}xv" for i in range(40)), "en")], docs.schema)
     out = {r.doc_id: r for r in quality.judge(docs.union(junk)).filter("not base_failed").collect()}
     assert not out[-1].kept and not out[-2].kept
@@ -95,8 +97,8 @@ def test_junk_is_out_of_its_band(spark, small):
     assert sum(r.kept for r in clean) > 0.99 * len(clean)
 
 
-def test_other_languages_and_shuffled_letters_are_out_of_the_band(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+def test_other_languages_and_shuffled_letters_are_out_of_the_band(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
     rnd, added = random.Random(5), []
     long = [r for r in docs.filter("lang is not null").orderBy("doc_id").collect() if 60 <= len((r.text or "").split()) <= 500]
     for lang in ("de", "es", "fr"):

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from queryscope.llm import queries, urls
 from queryscope.llm.queries_urls import RULES
 
+SMALL = "/root/testdata/sf0.01"
+
 
 def frame(spark, found):
     return spark.createDataFrame([(i, u, "extra") for i, u in enumerate(found)], "page_id long, url string, host string")
@@ -17,8 +19,8 @@ def judged(spark, found, listed, **kw):
     return [r for r in sorted(rows, key=lambda r: r.page_id)]
 
 
-def test_query(spark, small):
-    assert compare(spark, small, queries.QUERIES["op3_url_filter"], queries.ORACLES["op3_url_filter"]) is None
+def test_query(spark):
+    assert compare(spark, SMALL, queries.QUERIES["op3_url_filter"], queries.ORACLES["op3_url_filter"]) is None
 
 
 def test_rules(spark):

@@ -7,6 +7,8 @@ from oracle import compare
 from queryscope.llm import queries, warc
 from queryscope.llm.common import file_system
 
+SMALL = "/root/testdata/sf0.01"
+
 
 def plain(rows):
     last = {}
@@ -30,8 +32,8 @@ def run(spark, rows):
     return sorted(map(tuple, got), key=str), files, folder
 
 
-def test_query(spark, small):
-    assert compare(spark, small, queries.QUERIES["op7_warc_revisits"], queries.ORACLES["op7_warc_revisits"]) is None
+def test_query(spark):
+    assert compare(spark, SMALL, queries.QUERIES["op7_warc_revisits"], queries.ORACLES["op7_warc_revisits"]) is None
 
 
 def test_odd_rows(spark):
