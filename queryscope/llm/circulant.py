@@ -73,13 +73,13 @@ def band_keys(coordinates: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str, text: str, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(k, n, h0, h1, keys, t) of every row: size and two hashes of its set, band keys (empty for an empty set), text."""
+    """(row, k, n, h0, h1, keys, t) of every row: its number, size and two hashes of its set, band keys (empty for an empty set), text."""
     import xxhash
 
     def work(batches):
         for b in batches:
             out = []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 s = shingles(t, words)
                 if len(s):
                     whole = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -87,10 +87,11 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, bands: int = BAND
                 else:
                     out.append((0, 0, 0, np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([
-                b.column(0), *[pa.array([o[i] for o in out], pa.int64()) for i in range(3)], pa.array([o[3] for o in out], pa.list_(pa.int64())), b.column(1)],
-                names=["k", "n", "h0", "h1", "keys", "t"])
+                *b.columns[:2], *[pa.array([o[i] for o in out], pa.int64()) for i in range(3)], pa.array([o[3] for o in out], pa.list_(pa.int64())), b.column(2)],
+                names=["row", "k", "n", "h0", "h1", "keys", "t"])
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(work, "k long, n long, h0 long, h1 long, keys array<long>, t string")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    return rows.mapInArrow(work, "row long, k long, n long, h0 long, h1 long, keys array<long>, t string")
 
 
 def sets_of(rows: DataFrame, words: int) -> DataFrame:
@@ -171,8 +172,7 @@ def _crossed(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) of every row; the component is the smallest key that links reach."""
-    marked = stored(sketches(docs, key, text, words), "sketches")
-    numbered = stored(marked.withColumn("row", F.monotonically_increasing_id()), "sketch-rows")
+    numbered = stored(sketches(docs, key, text, words), "sketches", compression="zstd")
     classes = numbered.filter("n > 0").groupBy("h0", "h1").agg(F.min("row").alias("node"), F.min("k").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = stored(classes, "set-classes")
 
