@@ -90,8 +90,8 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, bands: int = BAND
                 *b.columns[:2], *[pa.array([o[i] for o in out], pa.int64()) for i in range(3)], pa.array([o[3] for o in out], pa.list_(pa.int64())), b.column(2)],
                 names=["row", "k", "n", "h0", "h1", "keys", "t"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(work, "row long, k long, n long, h0 long, h1 long, keys array<long>, t string")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    return numbered.mapInArrow(work, "row long, k long, n long, h0 long, h1 long, keys array<long>, t string")
 
 
 def sets_of(rows: DataFrame, words: int) -> DataFrame:
