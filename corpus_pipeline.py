@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queryscope.llm import decontaminate, mixing, simhash, token_files, toxicity
-from queryscope.llm.common import stored
+from queryscope.llm import circulant, decontaminate, mixing, simhash, token_files, toxicity
+from queryscope.llm.common import stored, unused
+from queryscope.llm.components import components
 from queryscope.llm.queries_mixing import POWERS, topic
 from queryscope.llm.queries_tokens import vocabulary
 from queryscope.workloads.registry import table
@@ -19,13 +20,23 @@ from queryscope.workloads.registry import table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.with_scores(docs, model, "text", ("toxicity_score", "toxicity_neighbours"))
-    return scored.filter(F.col("toxicity_score") < toxicity.THRESHOLD).select(*docs.columns)
+    names = unused(docs, "toxicity_score"), unused(docs, "toxicity_neighbours")
+    scored = toxicity.with_scores(docs, model, "text", names)
+    return scored.filter(F.col(names[0]) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
-    return simhash.representatives(docs)
+    """One document of each group that fingerprints within two bits, or five-word sets of similarity 0.8, link together.
+
+    Ball hashing finds copies and the nearest copies; similarity 0.8 lies beyond its radius, so sets of words add those links.
+    Rows are numbered as they are read, so ``docs`` must be a stored table.
+    """
+    row = unused(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    texts = numbered.select(F.col(row).alias("k"), F.col("text").alias("t"))
+    linked = simhash.groups(texts, "k", "t").select("k", "component_id").unionByName(circulant.groups(texts, "k", "t", words=5, percent=80).select("k", "component_id"))
+    roots = components(linked.select(F.col("k").alias("a"), F.col("component_id").alias("b")), "near-duplicates")
+    return numbered.join(roots.filter("node <> root").select(F.col("node").alias(row)), row, "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
