@@ -1,69 +1,14 @@
-"""Vector top-k, hashed embeddings, cache upserts and fuzzy ranking."""
+"""Hashed embeddings, cache upserts, refactoring plans and fuzzy ranking; vector search is in ``vectors``."""
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
-PACK = 4096  # queries per pass; at 64 floats each this is about 1 MB per task
-REFACTOR_THRESHOLD = 0.92
 
+from queryscope.operators.vectors import vector_topk
 
-def _scores(index: DataFrame, ids: list, matrix: np.ndarray, index_id: str, id_type: str, vector: str, threshold: float) -> DataFrame:
-    """Hits of one pack of queries: a matrix product per Arrow batch, misses never leave the task."""
-    unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    shared = index.sparkSession.sparkContext.broadcast((pa.array(ids), unit))
-    key_type = index.schema[index_id].dataType.simpleString()
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, queries = shared.value
-        dim = queries.shape[1]
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table.filter(pa.compute.equal(pa.compute.list_value_length(table[vector]), dim))
-            flat = table[vector].combine_chunks().flatten()
-            rows = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
-            keys = table[index_id].combine_chunks()
-            step = max(1, 4_000_000 // max(1, len(queries)))
-            for start in range(0, len(rows), step):
-                part = rows[start : start + step]
-                score = (part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-300)) @ queries.T
-                r, q = np.nonzero(score >= threshold)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), keys.take(pa.array(r + start)), pa.array(score[r, q])], names=["query_id", "match_id", "score"])
-
-    return index.select(index_id, vector).mapInArrow(hits, f"query_id {id_type}, match_id {key_type}, score double")
-
-
-def vector_topk(
-    queries: DataFrame, index: DataFrame, k: int = 1, threshold: float = 0.9,
-    query_id: str = "query_id", index_id: str = "vec_id", vector: str = "embedding", pack: int = PACK,
-) -> DataFrame:
-    """The k best index rows per query by cosine, none below ``threshold``.
-
-    Exact at any size. Rows without a vector match nothing, vectors of different
-    lengths never match each other. Queries are handed out in packs of fixed size, so what each
-    task holds does not grow with the data; more packs mean more passes over the
-    index. The per-query cut is taken in each task before the shuffle.
-    """
-    usable = queries.filter(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull()))
-    n_packs = max(1, -(-usable.count() // pack))
-    packed = usable.select(F.col(query_id), F.col(vector), F.pmod(F.xxhash64(query_id), F.lit(n_packs)).alias("__pack"))
-    q_type, i_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, query_id), (index, index_id)))
-    found = None
-    for i in range(n_packs):
-        rows = packed.filter(F.col("__pack") == i).collect()  # about `pack` rows
-        for size in sorted({len(r[1]) for r in rows}):
-            own = [r for r in rows if len(r[1]) == size]
-            part = _scores(index, [r[0] for r in own], np.array([r[1] for r in own], dtype=np.float64), index_id, q_type, vector, threshold)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], f"query_id {q_type}, match_id {i_type}, score double, rank int")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("match_id"))
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+REFACTOR_THRESHOLD = 0.92
 
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:

@@ -8,6 +8,7 @@ from queryscope.operators import billing as B
 from queryscope.operators import integrity as N
 from queryscope.operators import similarity as M
 from queryscope.operators import support as S
+from queryscope.operators import vectors
 from queryscope.workloads.registry import query, table
 
 _KINDS = ["invoice.paid", "customer.subscription.created", "customer.subscription.updated", "customer.subscription.deleted", "customer.created", "charge.failed"]
@@ -228,7 +229,7 @@ def route_message(spark, sf_dir):
 )
 def vector_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    out = M.vector_topk(e.withColumnRenamed("vec_id", "query_id"), e, k=3, threshold=0.2)
+    out = vectors.vector_topk(e.withColumnRenamed("vec_id", "query_id"), e, k=3, threshold=0.2)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -241,20 +242,18 @@ def hash_embedding(spark, sf_dir):
 
 
 def _cache_entries(spark, sf_dir, part):
-    e = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 3 == part if part < 2 else F.col("vec_id") % 3 != 1)
+    """Even rows are the cache, odd rows are new; three rows share a hash, so half of the hashes are on both sides more than once."""
+    e = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 2 == part)
     return e.select(
-        F.sha2((F.col("vec_id") % 100).cast("string"), 256).alias("sql_hash"), F.concat(F.lit("out"), "vec_id").alias("output_sql"),
+        F.sha2(F.floor(F.col("vec_id") / 3).cast("string"), 256).alias("sql_hash"), F.concat(F.lit("out"), "vec_id").alias("output_sql"),
         (F.col("vec_id") * 37 % 211).cast("double").alias("created_at"), F.when(F.col("vec_id") % 9 != 0, F.col("embedding")).alias("embedding"),
     )
 
 
-_ENTRIES = "SELECT sha256(CAST(vec_id % 100 AS VARCHAR)) AS sql_hash, 'out' || vec_id AS output_sql, CAST(vec_id * 37 % 211 AS DOUBLE) AS created_at, vec_id FROM embeddings WHERE vec_id % 9 <> 0"
-
-
 @query(
     "upsert",
-    f"SELECT sql_hash, arg_max(output_sql, (created_at, new)) AS output_sql, max(created_at) AS created_at, substr(sql_hash, 1, 16) AS point_id FROM "
-    f"(SELECT *, 0 AS new FROM ({_ENTRIES}) WHERE vec_id % 3 = 0 UNION ALL SELECT *, 1 FROM ({_ENTRIES}) WHERE vec_id % 3 = 1) GROUP BY 1",
+    "SELECT sql_hash, arg_max(output_sql, (created_at, new)) AS output_sql, max(created_at) AS created_at, substr(sql_hash, 1, 16) AS point_id FROM "
+    "(SELECT sha256(CAST(vec_id // 3 AS VARCHAR)) AS sql_hash, 'out' || vec_id AS output_sql, CAST(vec_id * 37 % 211 AS DOUBLE) AS created_at, vec_id % 2 AS new FROM embeddings WHERE vec_id % 9 <> 0) GROUP BY 1",
 )
 def upsert(spark, sf_dir):
     return M.upsert(_cache_entries(spark, sf_dir, 0), _cache_entries(spark, sf_dir, 1)).drop("embedding")

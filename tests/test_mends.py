@@ -4,7 +4,7 @@ import os
 from pyspark.sql import functions as F
 
 from queryscope.functions.text import detect_dialect
-from queryscope.operators import remedies, similarity, usage
+from queryscope.operators import remedies, usage
 from queryscope.plans import lint, score
 from queryscope.plans.lineage import statement_at
 from queryscope.sources.scripts import scan_scripts
@@ -28,22 +28,13 @@ def test_equal_points_and_other_columns_stay(spark):
     assert got == [("a", "SELECT 1"), ("b", "SELECT 1"), ("c", "SELECT 1; -- end")]
 
 
-def test_missing_and_odd_vectors(spark):
-    schema = "query_id string, embedding array<double>"
-    queries = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [1.0, 0.0, 0.0]), ("d", []), ("e", [None, 1.0])], schema)
-    index = spark.createDataFrame([(1, [2.0, 0.0]), (2, None), (3, [0.0, 0.0, 3.0]), (4, [5.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
-    got = similarity.vector_topk(queries, index)
-    assert sorted((r.query_id, r.match_id) for r in got.collect()) == [("a", 1), ("c", 4)]
-    assert [f.dataType.simpleString() for f in similarity.vector_topk(queries.limit(0), index).schema][:2] == ["string", "bigint"]
-
-
 def test_globs(spark, tmp_path):
     for name in ("a/x/stg/one.sql", "a/stg/two.sql", "a/x/stg/deep/three.sql", "a/x/stay.txt", "a/x/star.sql", "a/x/other.sql"):
         os.makedirs(os.path.dirname(tmp_path / name), exist_ok=True)
         (tmp_path / name).write_text("SELECT 1")
     found = lambda t: sorted(r.path.removeprefix(f"{tmp_path}/") for r in scan_scripts(spark, [f"{tmp_path}/{t}"]).collect())
     assert found("a/**/stg/*.sql") == ["a/stg/two.sql", "a/x/stg/one.sql"]
-    assert found("a/x/st*") == ["a/x/star.sql"] or found("a/x/st*") == ["a/x/star.sql", "a/x/stg/one.sql"]
+    assert found("a/x/st*.sql") == ["a/x/star.sql"]
     assert found("a/x/*.txt") == ["a/x/stay.txt"]
     assert len(found("a/**/*.sql")) == 5
 

@@ -8,7 +8,6 @@ from conftest import scripts_frame
 from queryscope.functions import text as X
 from queryscope.operators import query as Q
 from queryscope.operators import remedies as R
-from queryscope.operators import similarity as M
 from queryscope.operators import stages as S
 from queryscope.operators import usage as U
 from queryscope.plans import rewrite
@@ -108,13 +107,6 @@ def test_templates(spark):
     assert (row.o, row.n) == ("SELECT 1\nFROM __dbt_ref_a__b__ y", 1)
 
 
-def test_vector_packs_do_not_change_the_result(spark, sf):
-    e = table(spark, sf, "embeddings")
-    q = e.withColumnRenamed("vec_id", "query_id")
-    key = lambda d: sorted((r.query_id, r.match_id, r.rank) for r in d.collect())
-    assert key(M.vector_topk(q, e, 2, 0.1)) == key(M.vector_topk(q, e, 2, 0.1, pack=60))
-
-
 def test_scripts_on_disk(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.sql").write_bytes("﻿SELECT 1".encode())
