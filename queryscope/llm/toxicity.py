@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, votes by distance, calibrated.
 
-Features are words and the starts of words. Those whose share of toxic and of other
-examples differs clearly are indexed. Examples are sorted into blocks of similar ones;
+Features are words and the starts of words. Every feature whose share of toxic and of
+other examples differs clearly is indexed, however many there are; the rest, such as the
+common words of a language, say nothing about the label and make no part of a vector. Examples are sorted into blocks of similar ones;
 for each feature a block keeps its largest weight, so blocks that cannot reach the
 k-th best similarity are not scored, and the k nearest are exact.
 
@@ -25,10 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from queryscope.llm.common import stored
-from queryscope.llm.simhash import shingle_hashes
 
 EXAMPLES, CALIBRATION = 4000, 2000  # labelled rows per class, at most
-FEATURES = 20_000  # indexed features, at most
 LEAST_ROWS, LEAST_ODDS, SURE = 4, 6.0, 1.64  # examples with a feature, and the odds of one class that it must surely (in deviations) give
 NEIGHBOURS, BLOCK = 15, 32
 PRIOR = 0.25  # weight of the vote that no neighbour gives
@@ -157,17 +156,6 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
-def with_family(rows: DataFrame) -> DataFrame:
-    """The smallest hash of three words in a row: equal for copies, and as often for near copies as they share such words."""
-
-    def work(batches):
-        for b in batches:
-            found = [shingle_hashes((t or "").encode(), 3) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([int(h.min() >> np.uint64(1)) if len(h) else 0 for h in found], pa.int64())], names=["id", "y", "text", "family"])
-
-    return rows.select("id", "y", "text").mapInArrow(work, "id long, y int, text string, family long")
-
-
 def examples(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[DataFrame, dict[int, int]]:
     """Stored (doc_id, toxic, calibrates, text) of the chosen labelled rows, and the numbers of all labelled rows per class."""
     known = labels.filter(~held_out(F.col(key)) & F.col(key).isNotNull() & F.col(label).isNotNull())
@@ -178,16 +166,16 @@ def examples(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
         part = known.filter(F.col("y") == y).orderBy(h, "id").limit(EXAMPLES + CALIBRATION)
         chosen = part if chosen is None else chosen.unionByName(part)
     sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    # the chosen rows have a bound, so they can be sent to all tasks; copies and most near copies count once
+    # the chosen rows have a bound, so they can be sent to all tasks; equal texts count once, toxic if one of them is
     found = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("d") == F.col("id"))
-    one = lambda c: F.min(F.struct("id", "y", "text"))[c].alias(c)
-    once = with_family(found.select("id", "y", "text")).groupBy("family").agg(one("id"), one("y"), one("text"))
+    plain = F.sha2(F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))), 256)
+    once = found.groupBy(plain.alias("plain")).agg(F.min("id").alias("id"), F.max("y").alias("y"), F.min_by("text", "id").alias("text"))
     turn = F.pmod(F.xxhash64("id", F.lit("turn")), F.lit(EXAMPLES + CALIBRATION)) < CALIBRATION
     return stored(once.select("id", "y", turn.alias("calibrates"), "text"), "toxicity-examples"), sizes
 
 
 def choose_features(rows: DataFrame) -> list[str]:
-    """Features with a clear association, counted by documents; the strongest ones, at most ``FEATURES``."""
+    """All features with a clear association, counted by documents."""
 
     def work(batches):
         seen = {0: Counter(), 1: Counter()}
@@ -206,7 +194,7 @@ def choose_features(rows: DataFrame) -> list[str]:
     ratio = F.abs(odds("pos", p) - odds("neg", n))
     sure = ratio - SURE * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     clear = counted.select("f", sure.alias("sure"), F.greatest("pos", "neg").alias("most")).filter((F.col("most") >= LEAST_ROWS) & (F.col("sure") >= math.log(LEAST_ODDS)))
-    return sorted(r.f for r in clear.orderBy(F.desc("sure"), "f").limit(FEATURES).select("f").collect())
+    return sorted(r.f for r in clear.select("f").collect())
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
