@@ -70,6 +70,17 @@ def phone_digits(c: Column) -> Column:
     return F.length(_digits(c)).between(9, 15)
 
 
+def mixed_value(c: Column) -> Column:
+    """The value behind the sign has letters and digits: a name, a sentence or a plain number is no secret."""
+    value = F.regexp_extract(c, r"[:=]>?[\x20\t]{0,4}[\"']?+(.++)$", 1)
+    return value.rlike("[A-Za-z]") & value.rlike("[0-9]")
+
+
+def varied_hex(c: Column) -> Column:
+    """At least ten different characters, as random digits have; a ruler or a padded number has fewer."""
+    return F.size(F.array_distinct(F.split(c, ""))) >= 10
+
+
 # Runs are possessive and start where a run starts or where the last match ended: the same
 # matches as the plain patterns, in linear time and without recursion on texts of any length.
 KINDS = [
@@ -79,7 +90,12 @@ KINDS = [
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", phone_digits, 0.7, r"(?i)\b(phone|tel|call|mobile|fax|telefon|t[ée]l[ée]phone|tel[ée]fono)\b", needs="[+]"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", mod97, 0.8, r"(?i)\b(iban|account|bank|konto|cuenta|compte)\b", needs="[A-Z]{2}[0-9]{2}"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", None, 0.4, r"(?i)\b(ssn|social security|tax id)\b", gain=0.3, needs="[0-9]{3}-"),
+    Kind("secret", r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|(?:api|access|private|auth)[_-]?key|credential)s?[\"']?[\x20\t]{0,4}[:=]>?[\x20\t]{0,4}[\"']?[A-Za-z0-9+/_.~=-]{8,}+", mixed_value, 0.8, r"(?i)\b(login|auth|bearer|admin|user)\b", needs="(?i)(token|secret|passw|passphrase|pwd|key|credential)[^\n]{0,8}[:=]"),
+    Kind("key_block", r"-----BEGIN\x20(?:[A-Z0-9]{1,12}\x20){0,3}PRIVATE\x20KEY-----", None, 0.9, r"(?i)\bkey\b", needs="PRIVATE KEY-----"),
+    Kind("access_key", r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++)(?![A-Za-z0-9])", None, 0.8, r"(?i)\b(key|token|bearer)\b", needs="AKIA|ASIA|gh[pousr]_|eyJ"),
+    Kind("hex_secret", r"(?<![A-Za-z0-9]|[:=]|[:=][\x20\"']|[:=]\x20[\"'])[0-9a-f]{32,}+(?![A-Za-z0-9])", varied_hex, 0.4, r"(?i)\b(token|secret|key|password|bearer|auth)\b", gain=0.3, needs="[0-9a-f]{32}"),
 ]
+SECRETS = ["secret", "key_block", "access_key", "hex_secret"]
 BASE = ["email", "ip", "card", "phone"]
 
 
@@ -134,7 +150,7 @@ def _accepted(k: Kind, matches: Column, gaps: Column, ends: Column) -> Column:
 
 
 def digest(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: counts of the four base kinds, the hash of their spans, and all spans as text."""
+    """Per row: counts of the four base kinds, the hash of their spans, all spans as text, the number of secrets, and whether there is any span."""
     df = find_spans(df, text, [key])
     line = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     of = lambda names: F.filter("spans", lambda s: s["kind"].isin(names))
@@ -142,4 +158,5 @@ def digest(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     return df.select(
         key, *[F.size(of([n])).cast("long").alias(f"n_{n}") for n in BASE],
         F.sha2(joined(of(BASE)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.size(of(SECRETS)).cast("long").alias("n_secret"), (F.size("spans") > 0).alias("found"),
     )
