@@ -1,21 +1,15 @@
 """Usage, history, metrics and alert analytics over event tables.
 
-Hot keys are folded on the map side wherever the result allows; the operators
-that must see a key in time order stream it with bounded state instead of
-gathering it.
+Hot keys are folded on the map side wherever the result allows. The limiter is in ``limiter``.
 """
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator, Mapping
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from queryscope import lookups as L
+from queryscope.operators.quantiles import exact_quantiles
 
 DAY = 86400
 
@@ -146,17 +140,16 @@ LATENCY_BOUNDS = [5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500,
 def http_metrics(requests: DataFrame) -> DataFrame:
     """Requests, server errors and exact latency quantiles by method, path and status.
 
-    Equal durations are folded before the shuffle; a quantile is the first value
-    whose running count reaches its share.
+    A quantile is the first value whose running count reaches its share; it is found by
+    narrowing ranges (``quantiles``), so a path with most of the requests is no task of its own.
     """
     by = ["method", "path", "status"]
-    folded = requests.groupBy(*by, "duration_ms").agg(_count().alias("n"))
-    timed = F.when(F.col("duration_ms").isNotNull(), F.col("n")).otherwise(0)
-    group = W.partitionBy(*by)
-    running = folded.withColumn("upto", F.sum(timed).over(group.orderBy("duration_ms"))).withColumn("total", F.sum(timed).over(group))
-    reaching = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("duration_ms")))
-    errors = F.coalesce(F.sum(F.when(F.col("status") >= 500, F.col("n"))), F.lit(0))
-    return running.groupBy(*by).agg(F.sum("n").alias("requests"), errors.alias("errors"), reaching(0.5).alias("p50"), reaching(0.95).alias("p95"))
+    found = exact_quantiles(requests, by, "duration_ms", (0.5, 0.95)).withColumnsRenamed({c: f"__{c}" for c in by})
+    counts = requests.groupBy(*by).agg(_count().alias("requests"), F.count_if(F.col("status") >= 500).alias("errors"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return counts.join(found, same, "left").select(*by, "requests", "errors", F.col("q0").alias("p50"), F.col("q1").alias("p95"))
 
 
 def http_metrics_sketch(requests: DataFrame, accuracy: int = 10000) -> DataFrame:
@@ -196,46 +189,6 @@ def dedup_alerts(alerts: DataFrame, key: str = "dedup_key", window: str = "10 mi
     ).select(key, F.col("w.start").alias("window_start"), "event_id", "opened_at", "alerts")
 
 
-def rate_limit(requests: DataFrame, limit: int = 100, window_s: float = 60.0, overrides: Mapping[str, int] | None = None) -> DataFrame:
-    """Allow a request while fewer than ``limit`` accepted ones lie in the last window.
-
-    Whether a request is accepted depends on the accepted ones before it, so each
-    key is read in time order. Rows are hashed by key, sorted with spilling, and
-    streamed in Arrow batches; the only state is the accepted times still in the
-    window (at most ``limit``), so a key of any size fits.
-    """
-    schema = T.StructType(requests.schema.fields + [T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.IntegerType())])
-    span = round(window_s * 1_000_000)
-    caps = F.create_map(*[F.lit(x) for k, v in (overrides or {}).items() for x in (str(k), int(v))]) if overrides else F.lit(None).cast("map<string,int>")
-    own = F.coalesce(F.try_element_at(caps, F.col("key").cast("string")), F.lit(limit)).cast("int")
-    # after a gap of a whole window nothing is held, so what follows is decided on its own
-    order = W.partitionBy("key").orderBy("ts", "event_id")
-    marked = requests.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("__cap", own)
-    fresh = F.coalesce(F.col("__us") - F.lag("__us").over(order) >= span, F.lit(True))
-    marked = marked.withColumn("__fresh", fresh)
-    marked = marked.withColumn("__part", F.max(F.when(F.col("__fresh"), F.struct("__us", "event_id"))).over(order.rowsBetween(W.unboundedPreceding, 0)))
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = deque()
-        for batch in batches:
-            allowed, remaining = [], []
-            for first, at, cap in zip(batch["__fresh"], batch["__us"], batch["__cap"]):
-                if first:
-                    held = deque()
-                while held and held[0] <= at - span:
-                    held.popleft()
-                ok = len(held) < cap
-                if ok:
-                    held.append(at)
-                allowed.append(ok)
-                remaining.append(max(0, cap - len(held)))
-            out = batch.drop(columns=["__fresh", "__us", "__cap", "__part"])
-            yield out.assign(allowed=allowed, remaining=pd.Series(remaining, index=batch.index, dtype="int32"))
-
-    ordered = marked.repartition("key", "__part").sortWithinPartitions("key", "__part", "ts", "event_id")
-    return ordered.mapInPandas(decide, schema)
-
-
 def offered_load(requests: DataFrame, window_s: int = 60) -> DataFrame:
     """Requests of the key in ``(t - window, t]`` at each request.
 

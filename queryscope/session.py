@@ -4,7 +4,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # used by sessions on one machine that name no shared folder
 LOCAL_SHARED = "file:///tmp/checkpoints"
@@ -48,9 +48,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/queryscope/{name}-{uuid.uuid4().hex}"
 
 
-def can_checkpoint(spark: SparkSession) -> bool:
-    """Whether lineage can be cut in a shared folder; hands the cluster's folder to the context."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None and checkpoint_dir(spark):
-        context.setCheckpointDir(checkpoint_dir(spark))
-    return context.getCheckpointDir() is not None
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and a lost executor costs nothing already stored."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from queryscope import lookups as L
 from queryscope.operators import access as A
 from queryscope.operators import experiment as X
+from queryscope.operators import limiter
 from queryscope.operators import usage as U
 from queryscope.workloads import inputs as I
 from queryscope.workloads.registry import query, table
@@ -146,7 +147,7 @@ def dedup_alerts(spark, sf_dir):
 
 @query("rate_limit", I.limiter("CASE WHEN user_id = 7 THEN 1 ELSE 3 END") + "SELECT CAST(user_id AS VARCHAR) AS key, ts, event_id, allowed, CAST(cap - len(held) AS INTEGER) AS remaining FROM r")
 def rate_limit(spark, sf_dir):
-    out = U.rate_limit(I.requests(spark, sf_dir), limit=3, window_s=6 * 3600.0, overrides={"7": 1})
+    out = limiter.rate_limit(I.requests(spark, sf_dir), limit=3, window_s=6 * 3600.0, overrides={"7": 1})
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

@@ -4,7 +4,7 @@ import os
 from pyspark.sql import functions as F
 
 from queryscope.functions.text import detect_dialect
-from queryscope.operators import remedies, usage
+from queryscope.operators import limiter, remedies, usage
 from queryscope.plans import lint, score
 from queryscope.plans.lineage import statement_at
 from queryscope.sources.scripts import scan_scripts
@@ -48,7 +48,7 @@ def test_history_search_reads_all_entries(spark):
 def test_limiter_keys(spark):
     rows = [(k, f"2024-01-01 00:00:{s:02d}", i) for i, (k, s) in enumerate([(None, 1), (None, 2), (None, 3), (7, 1), (7, 2), (9, 1), (9, 2), (9, 3)])]
     df = spark.createDataFrame(rows, "key long, ts string, event_id int").withColumn("ts", F.to_timestamp("ts"))
-    got = {r.event_id: r.allowed for r in usage.rate_limit(df, 2, 60.0, {"7": 1}).collect()}
+    got = {r.event_id: r.allowed for r in limiter.rate_limit(df, 2, 60.0, {"7": 1}).collect()}
     assert [got[i] for i in range(8)] == [True, True, False, True, False, True, True, False]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import scripts_frame
 from queryscope.functions import text as X
+from queryscope.operators import limiter
 from queryscope.operators import query as Q
 from queryscope.operators import remedies as R
 from queryscope.operators import stages as S
@@ -37,12 +38,12 @@ def test_rate_limit_equals_brute_force(spark, sf):
     req = I.requests(spark, sf)
     rows = [(r.key, _seconds(r.ts), r.event_id) for r in req.withColumn("ts", F.col("ts").cast("timestamp_ntz")).collect()]
     want = _limiter(rows, 3, 6 * 3600.0, {"7": 1})
-    got = {r.event_id: (r.allowed, r.remaining) for r in U.rate_limit(req, 3, 6 * 3600.0, {"7": 1}).collect()}
+    got = {r.event_id: (r.allowed, r.remaining) for r in limiter.rate_limit(req, 3, 6 * 3600.0, {"7": 1}).collect()}
     assert got == want and not all(ok for ok, _ in got.values())
 
 
 def test_streaming_limiter_equals_batch(spark, sf):
-    batch = {r.event_id: r.allowed for r in U.rate_limit(I.requests(spark, sf), 3, 6 * 3600.0).collect()}
+    batch = {r.event_id: r.allowed for r in limiter.rate_limit(I.requests(spark, sf), 3, 6 * 3600.0).collect()}
     stream = {r.event_id: r.allowed for r in load()[0]["stream_rate_limit"](spark, sf).collect()}
     assert stream == batch
 
