@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from queryscope.operators import gramindex
+
 
 def filter_year(df: DataFrame, column: str, year: int) -> DataFrame:
     """A half-open range on the bare column, which reaches the file scan."""
@@ -131,25 +133,11 @@ def suffix_join(df: DataFrame, column: str, suffixes: DataFrame, suffix: str = "
     return probe.join(s, ["__n", "__tail"]).drop("__n", "__tail")
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct three-character pieces of a text; one linear scan, however long it is."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(...))"), 1))
-
-
-def trigram_index(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(gram, key) rows, to be stored partitioned or bucketed by gram."""
-    return df.select(F.col(key), F.explode(trigrams(F.col(column))).alias("gram"))
-
-
-def trigram_search(df: DataFrame, key: str, column: str, needle: str, index: DataFrame | None = None) -> DataFrame:
-    """``LIKE '%needle%'`` through the trigram index, then checked against the text."""
-    grams = sorted({needle[i : i + 3] for i in range(len(needle) - 2)})
-    exact = F.contains(F.col(column), F.lit(needle))
-    if not grams:
-        return df.filter(exact)
-    idx = trigram_index(df, key, column) if index is None else index
-    hits = idx.filter(F.col("gram").isin(grams)).groupBy(key).agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(grams))
-    return df.join(hits, key, "left_semi").filter(exact)
+def trigram_search(df: DataFrame, key: str, column: str, needle: str, path: str | None = None) -> DataFrame:
+    """``LIKE '%needle%'`` through the stored index at ``path`` (see ``gramindex``); without one a plain scan, which no index made on the spot beats."""
+    if path is None:
+        return df.filter(F.contains(F.col(column), F.lit(needle)))
+    return gramindex.search(df, key, column, needle, path)
 
 
 _FORMS = {"upper": (F.upper, str.upper), "lower": (F.lower, str.lower), "trim": (F.trim, str.strip)}
