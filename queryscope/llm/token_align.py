@@ -18,7 +18,10 @@ not read. A single text must fit into a task.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,9 @@ from pyspark.sql import functions as F
 from queryscope.llm.common import stored, text_runs
 
 HANDED_OUT = 1 << 20  # pairs in the tasks' memory, at most
-REMEMBERED = 1 << 18  # windows a task remembers, at most
+REMEMBERED = 1 << 19  # windows a task remembers before it begins anew
 _SHIFT = 15  # a pair is one number: the first id, then 15 bits of the second
+_B = 1 << 30  # marks ids of the second vocabulary within a window
 _HELD = 1 << 21  # pairs a task holds before equal ones are added up
 
 
@@ -40,8 +44,19 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+# --- fixed value: how byte-level vocabularies of this kind split a text before merging ---
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+_SETTLED = re.compile("[\x00-\u024f]*")
+
+
 class ByteLevel:
-    """A byte-level vocabulary of the tokenizers library."""
+    """A byte-level vocabulary of the tokenizers library.
+
+    Where a vocabulary's merges stand in the order of their ids, ranks of bytes say the same, and
+    a faster library merges by ranks. It gets the texts whose characters have had the same classes
+    in all versions of Unicode; all other texts go to the vocabulary's own library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,9 +69,30 @@ class ByteLevel:
         self.bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes[i] = token.encode() if token in special else bytes(alphabet[c] for c in token)
+        ranks = {self.bytes[i]: i for token, i in vocab.items() if token not in special}
+        self.fast = self._ranked(path, ranks)
+
+    def _ranked(self, path: str, ranks: dict[bytes, int]):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        model, split = said["model"], said["pre_tokenizer"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        alphabet = byte_level_alphabet()
+        merged = [ranks.get(bytes(alphabet[c] for c in a + b)) for a, b in pairs]
+        plain = split == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and said["normalizer"] is None
+        rising = None not in merged and merged == sorted(merged) and len(ranks) == 256 + len(merged)
+        return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if plain and rising and not model.get("ignore_merges") else None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        if self.fast is None:
+            return [e.ids for e in self.library.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        out = [self.fast.encode_ordinary(" " + t) if _SETTLED.fullmatch(t) else None for t in texts]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self.library.encode_batch([" " + texts[i] for i in rest], add_special_tokens=False) if rest else ()):
+            out[i] = e.ids
+        return out
 
 
 class Pieces:
@@ -75,27 +111,62 @@ class Pieces:
         return self.library.encode(texts, num_threads=1)
 
 
-def within(a: list[int], b: list[int], size_a, size_b) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """(groups, links) of two id runs over the same bytes: groups end where both have a token's end, links are overlapping tokens."""
-    groups, links = [], []
-    i = j = end_a = end_b = 0
-    start_a = start_b = 0
-    while i < len(a) or j < len(b):
-        if end_a == end_b:
-            start_a, start_b = i, j
-            end_a += size_a[a[i]]
-            end_b += size_b[b[j]]
-            i, j = i + 1, j + 1
-        elif end_a < end_b:
-            end_a += size_a[a[i]]
-            i += 1
-        else:
-            end_b += size_b[b[j]]
-            j += 1
-        links.append((a[i - 1], b[j - 1]))
-        if end_a == end_b:
-            groups.append((a[start_a:i], b[start_b:j]))
-    return groups, links
+def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a's token, b's token) of all overlaps in order, and the number of overlaps of each of a's tokens, from the byte offsets where tokens end."""
+    starts_a = np.concatenate(([0], ends_a[:-1]))
+    first = np.searchsorted(ends_b, starts_a, "right")
+    counts = np.searchsorted(ends_b, ends_a, "left") + 1 - first
+    at_a = np.repeat(np.arange(len(ends_a)), counts)
+    at_b = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + first[at_a]
+    return at_a, at_b, counts
+
+
+class Windows(dict):
+    """Number of each window by its ids, with tables by number: groups, their text, and the links' pairs one after the other."""
+
+    def __init__(self, sizes: tuple[np.ndarray, np.ndarray]):
+        super().__init__()
+        self.sizes, self.said = sizes, []
+        self.groups, self.starts, self.lengths = (np.zeros(0, np.int64) for _ in range(3))
+        self.pairs = np.zeros(0, np.int32)
+        # an id with the sign behind it: between ids, between sides, behind a group
+        self.text = np.array([f"{i}{sign}" for sign in ",|;" for i in range(max(map(len, sizes)))], object)
+
+    def learn(self, keys: list[bytes]) -> None:
+        """Work out new windows, all at once: laid end to end they are one text whose windows are known."""
+        packed = np.frombuffer(b"".join(keys), np.int32)
+        of_b = packed >= _B
+        a, b = packed[~of_b], packed[of_b] - _B
+        ends_a, ends_b = (np.cumsum(size[ids]) for size, ids in zip(self.sizes, (a, b)))
+        last = np.cumsum([len(k) // 4 for k in keys])
+        last_b = np.cumsum(of_b)[last - 1]
+        last_a = last - last_b
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        at_a, at_b, counts = overlaps(ends_a, ends_b)
+        # groups in order, each with a's tokens, then b's
+        group = np.concatenate([np.searchsorted(both, e) * 2 + side for side, e in enumerate((ends_a, ends_b))])
+        order = np.argsort(group, kind="stable")
+        closes = np.append(group[order][1:] != group[order][:-1], True)
+        sign = np.where(closes, 1 + group[order] % 2, 0)
+        shown = self.text[np.concatenate([a, b])[order] + sign * (len(self.text) // 3)]
+        upto = last.tolist()
+        self.said += ["".join(shown[i:j]) for i, j in zip([0, *upto], upto)]
+        links = np.cumsum(counts)[last_a - 1]
+        done = np.searchsorted(both, ends_a[last_a - 1]) + 1
+        step = lambda upto: np.diff(upto, prepend=0)
+        self.groups = np.concatenate([self.groups, step(done)])
+        self.starts = np.concatenate([self.starts, len(self.pairs) + links - step(links)])
+        self.lengths = np.concatenate([self.lengths, step(links)])
+        self.pairs = np.concatenate([self.pairs, a[at_a] << _SHIFT | b[at_b]])
+        self.update(zip(keys, range(len(self), len(self) + len(keys))))
+
+    def links(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs that the windows link, and how often."""
+        distinct, times = np.unique(found, return_counts=True)
+        lengths = self.lengths[distinct]
+        at = np.arange(lengths.sum()) + np.repeat(self.starts[distinct] - (np.cumsum(lengths) - lengths), lengths)
+        pairs, place = np.unique(self.pairs[at], return_inverse=True)
+        return pairs, np.bincount(place, np.repeat(times, lengths)).astype(np.int32)
 
 
 class Aligner:
@@ -103,12 +174,11 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
-        self.size_a, self.size_b = ([len(x) for x in v.bytes] for v in (self.a, self.b))
-        if len(self.size_b) > 1 << _SHIFT or len(self.size_a) > 1 << (31 - _SHIFT):
+        if len(self.b.bytes) > 1 << _SHIFT or len(self.a.bytes) > 1 << (31 - _SHIFT):
             raise ValueError("vocabularies are too large for pairs of 31 bits")
-        self.sizes = np.array(self.size_a), np.array(self.size_b)
+        self.sizes = tuple(np.array([len(x) for x in v.bytes]) for v in (self.a, self.b))
         self.marked = tuple(np.array([x[:1] == b" " for x in v.bytes]) for v in (self.a, self.b))
-        self.windows: dict[tuple[bytes, bytes], tuple[int, str, np.ndarray]] = {}
+        self.windows = Windows(self.sizes)
 
     def tokens(self, texts: list) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Id arrays of each text, or None where there are no tokens."""
@@ -128,25 +198,34 @@ class Aligner:
         shared = np.intersect1d(*before, assume_unique=True)
         return tuple(np.concatenate(([0], np.searchsorted(e, shared) + 1, [len(e)])) for e in ends)
 
-    def _window(self, key: tuple[bytes, bytes]) -> tuple[int, str, np.ndarray]:
-        groups, links = within(*(np.frombuffer(k, np.int32).tolist() for k in key), self.size_a, self.size_b)
-        said = ";".join(f"{','.join(map(str, p))}|{','.join(map(str, q))}" for p, q in groups)
-        found = len(groups), said, np.array([a << _SHIFT | b for a, b in links], np.int32)
+    def keys(self, x: np.ndarray, y: np.ndarray) -> list[bytes]:
+        """The packed ids of each window, a's and then b's, which have a bit of their own."""
+        at_a, at_b = self.anchors(x, y)
+        # both sides of each window side by side, so that a window is one slice
+        place = np.concatenate([np.repeat(2 * np.arange(len(at) - 1) + side, np.diff(at)) for side, at in enumerate((at_a, at_b))])
+        packed = np.concatenate([x, y | _B])[np.argsort(place, kind="stable")].tobytes()
+        cuts = (4 * (at_a + at_b)).tolist()
+        return [packed[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def documents(self, texts: list) -> list[tuple | None]:
+        """(n_a, n_b, groups, links, digest of the groups, distinct linked pairs, how often each is linked) of each text, or None."""
         if len(self.windows) >= REMEMBERED:
-            self.windows.clear()
-        self.windows[key] = found
-        return found
-
-    def document(self, x: np.ndarray, y: np.ndarray) -> tuple[int, str, np.ndarray]:
-        """(groups, digest of the groups, the pair of every link)."""
-        at_a, at_b = ((4 * w).tolist() for w in self.anchors(x, y))
-        bytes_a, bytes_b = x.tobytes(), y.tobytes()
-        known, found = self.windows.get, []
-        for i in range(len(at_a) - 1):
-            key = bytes_a[at_a[i]:at_a[i + 1]], bytes_b[at_b[i]:at_b[i + 1]]
-            found.append(known(key) or self._window(key))
-        digest = hashlib.sha256(";".join([f[1] for f in found]).encode()).hexdigest()
-        return sum([f[0] for f in found]), digest, np.concatenate([f[2] for f in found])
+            self.windows = Windows(self.sizes)
+        own, found = self.windows, self.tokens(texts)
+        keys = [self.keys(*pair) if pair else [] for pair in found]
+        new = dict.fromkeys(chain.from_iterable(keys))
+        if new := [k for k in new if k not in own]:
+            own.learn(new)
+        said, out = own.said, []
+        for pair, document in zip(found, keys):
+            if pair is None:
+                out.append(None)
+                continue
+            at = list(map(own.__getitem__, document))
+            digest = hashlib.sha256("".join(map(said.__getitem__, at))[:-1].encode()).hexdigest()
+            numbers = np.array(at)
+            out.append((len(pair[0]), len(pair[1]), int(own.groups[numbers].sum()), int(own.lengths[numbers].sum()), digest, *own.links(numbers)))
+        return out
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -167,14 +246,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text
         for b in batches:
             texts = b.column(2).to_pylist()
             for lo, hi in text_runs(texts):
-                out = []
-                for pair in own.tokens(texts[lo:hi]):
-                    if pair is None:
-                        out.append((0, 0, 0, 0, "", b"", b""))
-                        continue
-                    n, digest, links = own.document(*pair)
-                    distinct, times = np.unique(links, return_counts=True)
-                    out.append((len(pair[0]), len(pair[1]), n, len(links), digest, distinct.tobytes(), times.astype(np.int32).tobytes()))
+                none = (0, 0, 0, 0, "", b"", b"")
+                out = [(*d[:5], d[5].tobytes(), d[6].tobytes()) if d else none for d in own.documents(texts[lo:hi])]
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, k) for c, k in zip(zip(*out), kinds)]], names=names)

@@ -1,6 +1,7 @@
 """Cross-tokenizer alignment against a plain version over byte offsets."""
 import bisect
 import hashlib
+import random
 from collections import Counter, defaultdict
 from itertools import accumulate
 
@@ -104,10 +105,20 @@ def test_anchors_are_shared_ends_before_marked_tokens():
 
 def test_windows_are_remembered_within_a_bound(monkeypatch):
     monkeypatch.setattr(T, "REMEMBERED", 3)
-    own, text = T.Aligner(A, B), "one two three four five one two"
-    first = own.document(*own.tokens([text])[0])
-    again = own.document(*own.tokens([text])[0])
-    assert first[:2] == again[:2] and (first[2] == again[2]).all() and len(own.windows) <= 3
+    own, texts = T.Aligner(A, B), ["one two three four five one two", None, "six seven eight nine"]
+    first, again = own.documents(texts), own.documents(texts)
+    assert first[1] is again[1] is None and len(own.windows) == 9
+    assert all(x[:5] == y[:5] and (x[5] == y[5]).all() and (x[6] == y[6]).all() for x, y in zip(first[::2], again[::2]))
+
+
+def test_ranks_give_the_librarys_ids(libraries):
+    rnd = random.Random(9)
+    parts = [" ", " ", " ", "  ", "\n", "\t", " \n", "\x1c", "\x85", "\u00a0", "\u2003", "\u3000", "word", "Word,", "don't", "12", "½", "ö", "e\u0301", "\u0301", "日本", "🙂", "▁", "</s>", "<|endoftext|>", "x" * 70, "\x00", "ʰ", "ª²"]
+    texts = ["".join(rnd.choice(parts[:k]) for _ in range(rnd.randint(1, 25))) for k in (10, len(parts)) for _ in range(2000)]
+    texts += ["".join(chr(rnd.randrange(0x250)) for _ in range(40)) for _ in range(2000)]
+    own = T.ByteLevel(A)
+    assert own.fast is not None and any(T._SETTLED.fullmatch(t) for t in texts)
+    assert own.encode(texts) == [e.ids for e in libraries[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]
 
 
 def test_pair_table(spark):
