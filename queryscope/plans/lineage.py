@@ -148,19 +148,21 @@ def clause_totals(usage: DataFrame) -> DataFrame:
 def statement_at(points: DataFrame, statements: DataFrame, scripts: DataFrame) -> DataFrame:
     """The points with the statement at their (script_id, off), else the whole script; equal points and other columns stay.
 
-    Offsets are cut into slices and each statement is listed under the slices it
-    covers, so a point meets only the statements near it.
+    Offsets are cut into slices and each statement's bounds are listed under the slices
+    it covers, so a point meets only the statements near it. Of several that hold a point
+    the first in the script counts. No text is listed: the found statement's text is joined once, by its number.
     """
     width = 1024
     spans = statements.select(
-        "script_id", c("stmt_no").alias("hit_no"), "start_off", "end_off", "stmt",
+        "script_id", c("stmt_no").alias("hit_no"), "start_off", "end_off",
         F.explode(F.sequence(F.floor(c("start_off") / width), F.floor(c("end_off") / width))).alias("slice"),
     )
-    near = points.select("script_id", "off").distinct().withColumn("slice", F.floor(c("off") / width)).join(spans, ["script_id", "slice"], "left")
+    near = points.select("script_id", "off").distinct().withColumn("slice", F.floor(c("off") / width)).join(spans, ["script_id", "slice"])
     inside = (c("start_off") <= c("off")) & (c("off") <= c("end_off"))
-    best = near.groupBy("script_id", "off").agg(F.min_by(F.when(inside, F.struct("hit_no", "stmt")), F.when(inside, c("hit_no"))).alias("s"))
-    found = points.join(best, ["script_id", "off"], "left").join(scripts.select("script_id", "sql"), "script_id")
-    return found.select(*points.columns, c("s.hit_no").alias("stmt_no"), F.coalesce("s.stmt", "sql").alias("stmt"))
+    best = near.filter(inside).groupBy("script_id", "off").agg(F.min("hit_no").alias("stmt_no"))
+    texts = statements.select("script_id", "stmt_no", "stmt")
+    found = points.join(best, ["script_id", "off"], "left").join(texts, ["script_id", "stmt_no"], "left").join(scripts.select("script_id", "sql"), "script_id")
+    return found.select(*points.columns, "stmt_no", F.coalesce("stmt", "sql").alias("stmt"))
 
 
 def check_schema(tokens: DataFrame, catalog: DataFrame) -> DataFrame:
