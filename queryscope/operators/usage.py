@@ -208,6 +208,16 @@ def audit_recent(audit: DataFrame, n: int = 50) -> DataFrame:
     return audit.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
 
 
+def audit_capped(audit: DataFrame, most: int = 10_000) -> DataFrame:
+    """The rows a log of at most ``most`` entries still has when each overflow drops its older half.
+
+    Rows are appended in order of time and event_id; what stays is a bounded number of the latest.
+    """
+    n, half = audit.count(), most // 2
+    left = n if n <= most else most + 1 - half + (n - most - 1) % half
+    return audit.orderBy(F.desc("ts"), F.desc("event_id")).limit(left)
+
+
 def audit_retained(audit: DataFrame, days: int = 90) -> DataFrame:
     """The rows of the last ``days`` days up to the newest one."""
     newest = audit.agg(F.max("ts")).scalar()

@@ -173,6 +173,15 @@ def audit_retained(spark, sf_dir):
     return U.audit_retained(table(spark, sf_dir, "events").select("event_id", "ts"), days=7)
 
 
+@query(
+    "audit_capped",
+    "SELECT event_id, ts FROM (SELECT event_id, ts, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER () AS n FROM events) "
+    "WHERE rn <= CASE WHEN n <= 400 THEN n ELSE 201 + (n - 401) % 200 END",
+)
+def audit_capped(spark, sf_dir):
+    return U.audit_capped(table(spark, sf_dir, "events").select("event_id", "ts"), most=400)
+
+
 _HASH = "sha256('duckdb|' || o_orderpriority || o_orderstatus || o_custkey % 50)"
 _CACHED = f"SELECT {_HASH} AS sql_hash, CAST(o_orderkey % 5000 AS DOUBLE) AS created_at FROM orders WHERE o_orderkey % 4 = 0"
 

@@ -86,6 +86,19 @@ TEMPLATES = [
     Template("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus HAVING count(*) > #S ORDER BY n LIMIT 5"),
 ]
 
+# --- fixed values: columns read by each template, by the table they stand for; a bare column counts to the statement's first table ---
+COLUMNS = {
+    1: ["part.p_name,p_size"], 3: ["orders.o_custkey"], 4: ["orders.o_orderkey", "lineitem.l_orderkey"], 6: ["orders.o_custkey", "customer.c_custkey"],
+    9: ["orders.o_orderdate"], 10: ["part.p_brand"], 11: ["part.p_size"], 12: ["orders.o_orderdate"], 13: ["orders.o_orderdate"], 14: ["orders.o_orderdate"],
+    15: ["part.p_brand"], 16: ["orders.o_orderdate"], 20: ["orders.o_custkey", "customer.c_custkey"], 21: ["orders.o_orderkey"], 22: ["part.p_size"], 23: ["part.p_size"],
+    24: ["part.p_size"], 25: ["orders.o_custkey", "customer.c_custkey"], 26: ["orders.o_custkey,o_totalprice", "customer.c_custkey"], 27: ["part.p_name"], 28: ["part.p_name"],
+    29: ["a.o_custkey,o_orderdate", "customer.c_name", "orders.o_orderdate,s_suppkey"], 30: ["part.p_name,p_size", "nation.n_name"], 34: ["part.a;b,p_size"],
+    35: ["lineitem.l_partkey", "part.p_partkey"], 36: ["orders.o_orderkey", "lineitem.l_orderkey"], 37: ["part.p_size,p_retailprice"],
+    38: ["nation.n_name,n_regionkey,r_name,r_regionkey"], 39: ["part.a,b,c,p_size"], 40: ["orders.o_orderkey,o_totalprice"], 41: ["part.p_partkey,s_suppkey"],
+    42: ["orders.o_orderstatus,n"],
+}
+
+
 # --- fixed values: what each template reads and does, by its place in the list
 LINEAGE = {
     1: "part", 2: "nation region:CROSS JOIN!", 3: "orders customer:INNER JOIN!", 4: "orders lineitem:INNER JOIN!", 5: "part supplier:INNER JOIN! nation:INNER JOIN!",

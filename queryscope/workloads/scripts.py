@@ -9,8 +9,12 @@ from queryscope.operators import query as Q
 from queryscope.operators import usage as U
 from queryscope.plans import lineage as G
 from queryscope.plans import lint, rewrite
+from queryscope.plans import reports as R
 from queryscope.plans import score as S
 from queryscope.plans import tokens as T
+from queryscope.plans.findings_store import FindingsStore
+from queryscope.plans.findings_store import lint_incremental as lint_incremental_run
+from queryscope.session import shared_folder
 from queryscope.sources.catalog import catalog_from
 from queryscope.workloads import corpus as C
 from queryscope.workloads.registry import query, table
@@ -212,6 +216,15 @@ def table_refs(spark, sf_dir):
     return G.table_refs(_tokens(spark, sf_dir)).select("script_id", "name")
 
 
+def _column_values():
+    return "cols(t, name, col) AS (VALUES " + ", ".join(f"({t}, '{n}', '{c}')" for t, named in C.COLUMNS.items() for n, _, cs in (x.partition(".") for x in named) for c in cs.split(",")) + ")"
+
+
+@query("column_refs", f"WITH {_CTE}, {_column_values()} SELECT script_id, name, col AS \"column\" FROM scripts JOIN cols USING (t)")
+def column_refs(spark, sf_dir):
+    return G.column_refs(_tokens(spark, sf_dir)).select("script_id", "name", "column")
+
+
 @query("lineage", _LIN + "SELECT script_id, name, join_kind, problem FROM scripts JOIN lin USING (t)")
 def lineage(spark, sf_dir):
     return G.lineage(_tokens(spark, sf_dir)).select("script_id", "name", "join_kind", "problem")
@@ -336,6 +349,14 @@ def lint_corpus(spark, sf_dir):
     return _counts(lint.lint_corpus(_scripts(spark, sf_dir)))
 
 
+@query("lint_incremental", _WITH + _RULE_COUNTS.format(src="found"))
+def lint_incremental(spark, sf_dir):
+    """Two runs on one store: the second reads only the texts that the first has not seen."""
+    path, scripts = shared_folder(spark, "findings-store"), _scripts(spark, sf_dir)
+    FindingsStore(spark, path).update(scripts.filter("script_id % 50 <> 0"))
+    return _counts(lint_incremental_run(scripts, path))
+
+
 @query("lint_pro", _WITH + "SELECT script_id, rule_id, severity, count(*) AS n, count(*) FILTER (WHERE rule_id = 'SQL-SARG-001' AND t IN (9, 12, 29)) AS fixable FROM pro GROUP BY 1, 2, 3")
 def lint_pro(spark, sf_dir):
     found = lint.lint_corpus(_scripts(spark, sf_dir), lint.PRO_RULES, dedup=False)
@@ -444,6 +465,31 @@ def sarif_results(spark, sf_dir):
     return out.groupBy("script_id", get("$.ruleId").alias("rule_id"), get("$.level").alias("level"), get("$.locations[0].physicalLocation.artifactLocation.uri").alias("uri")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_OBJECT = "status string, summary struct<total: bigint, critical: bigint, high: bigint, medium: bigint, low: bigint>, findings array<struct<rule_id: string>>"
+_OBJECT_SQL = (
+    "SELECT s.script_id, s.path, CASE WHEN n > 0 THEN 'findings' ELSE 'ok' END AS status, coalesce(n, 0) AS total, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, "
+    "coalesce(medium, 0) AS medium, coalesce(n, 0) AS listed FROM scripts s LEFT JOIN (SELECT script_id, count(*) AS n, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, "
+    "count(*) FILTER (WHERE severity = 'HIGH') AS high, count(*) FILTER (WHERE severity = 'MEDIUM') AS medium FROM found GROUP BY 1) f ON f.script_id = s.script_id"
+)
+
+
+@query("script_results", _WITH + _OBJECT_SQL)
+def script_results(spark, sf_dir):
+    rows = R.script_results(_scripts(spark, sf_dir), _core(spark, sf_dir)).withColumn("o", F.from_json("result", _OBJECT))
+    return rows.select("script_id", "path", "o.status", "o.summary.total", "o.summary.critical", "o.summary.high", "o.summary.medium", F.size("o.findings").cast("long").alias("listed"))
+
+
+_SARIF = "runs array<struct<results: array<struct<ruleId: string, level: string>>>>"
+
+
+@query("sarif_files", _WITH + "SELECT rule_id, CASE severity WHEN 'MEDIUM' THEN 'warning' WHEN 'LOW' THEN 'note' ELSE 'error' END AS level, count(*) AS n FROM found GROUP BY 1, 2")
+def sarif_files(spark, sf_dir):
+    path = shared_folder(spark, "sarif")
+    R.write_sarif(_core(spark, sf_dir), _scripts(spark, sf_dir), path, files=4)
+    found = R.read_documents(spark, path, "runs", _SARIF).select(F.explode("results").alias("x"))
+    return found.groupBy(F.col("x.ruleId").alias("rule_id"), F.col("x.level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("report_rows_json", _WITH + "SELECT path, rule_id, severity, '1.0.0' AS schema_version, count(*) AS n FROM found GROUP BY 1, 2, 3")
 def report_rows_json(spark, sf_dir):
     rows = S.report_rows_json(_core(spark, sf_dir), _scripts(spark, sf_dir))
