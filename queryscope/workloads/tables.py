@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queryscope.operators import gramindex
+from queryscope.operators import compare, gramindex
 from queryscope.operators import profile as P
 from queryscope.operators import query as Q
 from queryscope.operators import remedies as R
+from queryscope.operators import searchcopy
 from queryscope.operators import stages as S
 from queryscope.session import shared_folder
 from queryscope.workloads.registry import query, table
@@ -287,6 +288,39 @@ def suffix_join(spark, sf_dir):
     return R.suffix_join(table(spark, sf_dir, "customer"), "c_name", s).select("c_custkey", "suffix")
 
 
+def _edited_orders(spark, sf_dir):
+    """Orders with some prices changed, some rows left out and some repeated."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    k = F.col("o_orderkey") % 100
+    changed = o.filter(k != 8).withColumn("o_totalprice", F.when(k == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return o, changed.unionByName(o.filter(k == 9))
+
+
+@query(
+    "differing_rows",
+    "WITH a AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders), "
+    "b AS (SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 100 = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM a WHERE o_orderkey % 100 <> 8 "
+    "UNION ALL SELECT * FROM a WHERE o_orderkey % 100 = 9) "
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, sum(x) AS n_a, sum(y) AS n_b FROM (SELECT *, 1 AS x, 0 AS y FROM a UNION ALL SELECT *, 0, 1 FROM b) GROUP BY 1, 2, 3, 4 HAVING sum(x) <> sum(y)",
+)
+def differing_rows(spark, sf_dir):
+    return compare.differing_rows(*_edited_orders(spark, sf_dir))
+
+
+@query("suffix_search_stored", "SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%3' OR c_name LIKE '%77'")
+def suffix_search_stored(spark, sf_dir):
+    path = shared_folder(spark, "reversed")
+    searchcopy.write_copy(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", "reversed", path)
+    return searchcopy.ends_with(spark, path, "c_name", ["3", "77"])
+
+
+@query("normalized_equals_stored", "SELECT c_custkey, c_mktsegment FROM customer WHERE lower(c_mktsegment) = lower('Building')")
+def normalized_equals_stored(spark, sf_dir):
+    path = shared_folder(spark, "lowered")
+    searchcopy.write_copy(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "lower", path)
+    return searchcopy.equals(spark, path, "c_mktsegment", "lower", "Building")
+
+
 _INDEXES: dict[tuple[str, str], str] = {}
 
 
