@@ -8,7 +8,7 @@ from queryscope.functions import text as X
 from queryscope.operators import query as Q
 from queryscope.operators import usage as U
 from queryscope.plans import lineage as G
-from queryscope.plans import lint, rewrite
+from queryscope.plans import lint, patterns, rewrite
 from queryscope.plans import reports as R
 from queryscope.plans import score as S
 from queryscope.plans import tokens as T
@@ -357,6 +357,11 @@ def lint_incremental(spark, sf_dir):
     return _counts(lint_incremental_run(scripts, path))
 
 
+@query("pattern_rules", _WITH + "SELECT script_id, rule_id, severity, count(*) AS n FROM (SELECT * FROM found WHERE rule_id IN ('SQL-LIKE-001', 'SQL-NOTIN-001') UNION ALL SELECT * FROM pro WHERE rule_id = 'SQL-WILD-001') GROUP BY 1, 2, 3")
+def pattern_rules(spark, sf_dir):
+    return _counts(patterns.find_patterns(_tokens(spark, sf_dir), patterns.PATTERNS))
+
+
 @query("lint_pro", _WITH + "SELECT script_id, rule_id, severity, count(*) AS n, count(*) FILTER (WHERE rule_id = 'SQL-SARG-001' AND t IN (9, 12, 29)) AS fixable FROM pro GROUP BY 1, 2, 3")
 def lint_pro(spark, sf_dir):
     found = lint.lint_corpus(_scripts(spark, sf_dir), lint.PRO_RULES, dedup=False)
