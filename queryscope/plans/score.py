@@ -66,9 +66,7 @@ def score_corpus(scripts: DataFrame, dedup: bool = True) -> DataFrame:
     """Scores of every script, an empty one too; each distinct text is read once."""
     if not dedup:
         return _for_all(scripts.select("script_id").join(risk_score(lint.annotate_scripts(scripts)), "script_id", "left"))
-    ids = scripts.select(lint.fingerprint(c("dialect"), c("sql")).alias("fp"), "script_id")
-    scores = risk_score(lint.annotate_scripts(lint.distinct_scripts(scripts))).withColumnRenamed("script_id", "fp")
-    return _for_all(lint.to_copies(ids, scores, "left"))
+    return _for_all(lint.per_text(scripts, lambda texts: risk_score(lint.annotate_scripts(texts)), "left"))
 
 
 def _for_all(scores: DataFrame) -> DataFrame:

@@ -51,6 +51,20 @@ def _statement_body(quoted_identifiers: bool) -> str:
     return rf"(?:{plain}++|{_COMMENT}|{_OPEN_COMMENT}|{_STRING}{quoted}|[/-])*+"
 
 
+# Everything up to the last token: what may hold a quote or open a comment is read as the tokens
+# read it, so blanks and comments after that are surely no part of a literal.
+_HEAD = rf"^(?:(?:\s++|{_COMMENT})*+(?:{_OPEN_COMMENT}|{_STRING}|{_QUOTED}|[^\s'\"`/-]++|[\s\S]))*+"
+
+
+def head_of(sql: Column, dialect: Column) -> Column:
+    """The text without the blanks and comments that trail it.
+
+    Dialects with comments or quotes of their own keep their whole text.
+    """
+    own = F.coalesce(dialect.isin("mysql", "tsql"), F.lit(False))
+    return F.when(own, sql).otherwise(F.regexp_extract(sql, _HEAD, 0))
+
+
 def _by_dialect(build) -> Column:
     """Pick the pattern variant by the row's dialect; each variant stays a constant."""
     return (
@@ -68,9 +82,11 @@ def _by_script(scripts: DataFrame) -> DataFrame:
     """Hash the text by script into a fixed number of parts.
 
     The count is given outright because adaptive coalescing judges by the bytes of
-    the text, while the tokens made from it take many times that.
+    the text, while the tokens made from it take many times that. It is one more than
+    the session's, because Spark drops a hash that equals the one of a grouping before
+    it and would coalesce that grouping instead.
     """
-    parts = int(scripts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(scripts.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
     return scripts.repartition(parts, "script_id")
 
 
