@@ -12,8 +12,8 @@ c = F.col
 STAGES = ["FROM", "JOIN", "WHERE", "GROUP BY", "HAVING", "SELECT", "ORDER BY", "LIMIT"]
 
 
-def _named(tokens: DataFrame) -> DataFrame:
-    """Table reference rows with name, schema and alias, one per mention."""
+def _name_parts() -> tuple[Column, Column, Column]:
+    """Name, schema and alias read at the token that starts a table reference."""
     is_name = lambda i: c(f"nk{i}").isin("word", "ident")
     three = (c("n1") == ".") & (c("n3") == ".")
     two = (c("n1") == ".") & ~three
@@ -24,12 +24,16 @@ def _named(tokens: DataFrame) -> DataFrame:
     name = F.when(three, c("nt4")).when(two, c("nt2")).otherwise(c("tok"))
     schema = unquote(F.when(three, c("nt2")).when(two, c("tok")))
     alias = F.when(three, alias_at(5)).when(two, alias_at(3)).otherwise(alias_at(1))
+    return unquote(name), F.when(~F.lower(schema).isin(L.DEFAULT_SCHEMAS), schema), unquote(alias)
+
+
+def _named(tokens: DataFrame) -> DataFrame:
+    """Table reference rows with name, schema and alias, one per mention."""
+    name, schema, alias = _name_parts()
     return tokens.filter(table_names(tokens) & ~c("stmt_broken")).select(
         "script_id", "stmt_no", "pos", "line", "p1", "p2", "p3", "p4", "join_next", "depth",
         c("grp.pos").alias("grp_pos"),
-        unquote(name).alias("name"),
-        F.when(~F.lower(schema).isin(L.DEFAULT_SCHEMAS), schema).alias("schema"),
-        unquote(alias).alias("alias"),
+        name.alias("name"), schema.alias("schema"), alias.alias("alias"),
     )
 
 
@@ -38,24 +42,45 @@ def table_refs(tokens: DataFrame) -> DataFrame:
     return _named(tokens).groupBy("script_id", "stmt_no", "name", "schema").agg(F.min("pos").alias("pos"))
 
 
-def column_refs(tokens: DataFrame) -> DataFrame:
-    """Columns per statement and table: qualified ones on the table of that name or
-    alias in any case, the others on the first table of the statement."""
+def _references(tokens: DataFrame) -> DataFrame:
+    """One row per statement: its distinct tables as (name, schema), and its columns as (name, schema, column).
+
+    Both are folded in one pass over the tokens; a statement's lists are bounded by its text.
+    Qualified columns go to the tables of that name or alias in any case, the others to the first table.
+    """
     pos_w = W.partitionBy("script_id", "stmt_no").orderBy("pos")
     flagged = tokens.withColumn("is_table", table_names(tokens))
     flagged = flagged.withColumns({"t2": F.lag("is_table", 2).over(pos_w), "t4": F.lag("is_table", 4).over(pos_w)})
     part = (c("p1") == ".") & (F.coalesce("t2", F.lit(False)) | ((c("p3") == ".") & F.coalesce("t4", F.lit(False))))
-    cols = flagged.filter(
+    is_column = (
         c("is_col") & ~c("is_table") & ~F.coalesce(part, F.lit(False)) & (c("n1") != ".") & ~c("stmt_broken")
         & F.coalesce(c("grp.fn") != "USING", F.lit(True))
-    ).select("script_id", "stmt_no", unquote(c("tok")).alias("column"), F.when(c("p1") == ".", unquote(c("pt2"))).alias("qualifier")).distinct()
-    tables = table_refs(tokens)
-    first = tables.groupBy("script_id", "stmt_no").agg(F.min_by(F.struct("name", "schema"), "pos").alias("t"))
+    )
+    name, schema, alias = _name_parts()
+    is_table = c("is_table") & ~c("stmt_broken")
+    table = F.struct(name.alias("name"), schema.alias("schema"))
+    column = F.struct(unquote(c("tok")).alias("column"), F.when(c("p1") == ".", unquote(c("pt2"))).alias("qualifier"))
+    called = F.struct(F.array_compact(F.array(F.lower(name), F.lower(alias))).alias("q"), table.alias("t"))
     keys = ["script_id", "stmt_no"]
-    called = _named(tokens).select(*keys, "name", "schema", F.explode(F.array_compact(F.array(F.lower("name"), F.lower("alias")))).alias("q")).distinct()
-    qualified = cols.filter("qualifier is not null").withColumn("q", F.lower("qualifier")).join(called, [*keys, "q"])
-    bare = cols.filter("qualifier is null").join(first, keys)
-    return qualified.select(*keys, "name", "schema", "column").unionByName(bare.select(*keys, "t.name", "t.schema", "column")).distinct()
+    found = flagged.select(*keys, "pos", F.when(is_table, called).alias("called"), F.when(is_column, column).alias("col"))
+    folded = found.filter("called is not null or col is not null").groupBy(*keys).agg(
+        F.collect_set("called").alias("called"), F.collect_set("col").alias("cols"), F.min_by("called.t", F.when(c("called").isNotNull(), c("pos"))).alias("first"),
+    )
+
+    def on_tables(x: Column) -> Column:
+        named = F.filter("called", lambda t: F.array_contains(t["q"], F.lower(x["qualifier"])))
+        tables = F.when(x["qualifier"].isNotNull(), F.transform(named, lambda t: t["t"])).otherwise(F.array_compact(F.array("first")))
+        return F.transform(tables, lambda t: F.struct(t["name"].alias("name"), t["schema"].alias("schema"), x["column"].alias("column")))
+
+    return folded.select(
+        *keys, F.array_distinct(F.transform("called", lambda t: t["t"])).alias("tables"), F.array_distinct(F.flatten(F.transform("cols", on_tables))).alias("columns")
+    )
+
+
+def column_refs(tokens: DataFrame) -> DataFrame:
+    """Columns per statement and table: qualified ones on the table of that name or
+    alias in any case, the others on the first table of the statement."""
+    return _references(tokens).select("script_id", "stmt_no", F.explode("columns").alias("r")).select("script_id", "stmt_no", "r.name", "r.schema", "r.column")
 
 
 def lineage(tokens: DataFrame) -> DataFrame:
@@ -150,7 +175,7 @@ def statement_at(points: DataFrame, statements: DataFrame, scripts: DataFrame) -
 
     Offsets are cut into slices and each statement's bounds are listed under the slices
     it covers, so a point meets only the statements near it. Of several that hold a point
-    the first in the script counts. No text is listed: the found statement's text is joined once, by its number.
+    the first in the script counts. No statement's text is moved: it is cut out of the script, which is joined once.
     """
     width = 1024
     spans = statements.select(
@@ -159,10 +184,11 @@ def statement_at(points: DataFrame, statements: DataFrame, scripts: DataFrame) -
     )
     near = points.select("script_id", "off").distinct().withColumn("slice", F.floor(c("off") / width)).join(spans, ["script_id", "slice"])
     inside = (c("start_off") <= c("off")) & (c("off") <= c("end_off"))
-    best = near.filter(inside).groupBy("script_id", "off").agg(F.min("hit_no").alias("stmt_no"))
-    texts = statements.select("script_id", "stmt_no", "stmt")
-    found = points.join(best, ["script_id", "off"], "left").join(texts, ["script_id", "stmt_no"], "left").join(scripts.select("script_id", "sql"), "script_id")
-    return found.select(*points.columns, "stmt_no", F.coalesce("stmt", "sql").alias("stmt"))
+    best = near.filter(inside).groupBy("script_id", "off").agg(F.min(F.struct(c("hit_no").alias("stmt_no"), "start_off", "end_off")).alias("hit"))
+    found = points.join(best.hint("merge"), ["script_id", "off"], "left").join(scripts.select("script_id", "sql").hint("merge"), "script_id")
+    sql = F.regexp_replace("sql", "^\ufeff", "")  # offsets are counted without the mark, as in split_pieces
+    cut = F.substring(sql, c("hit.start_off") + 1, c("hit.end_off") - c("hit.start_off"))
+    return found.select(*points.columns, "hit.stmt_no", F.when(c("hit").isNotNull(), cut).otherwise(c("sql")).alias("stmt"))
 
 
 def check_schema(tokens: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -172,16 +198,18 @@ def check_schema(tokens: DataFrame, catalog: DataFrame) -> DataFrame:
     are not looked at.
     """
     cat = catalog.select(F.lower("schema").alias("cs"), F.lower("table").alias("ct"), F.lower("column").alias("cc"))
-    known = cat.select("cs", "ct").distinct()
-    on_table = (F.lower("name") == c("ct")) & (c("schema").isNull() | (F.lower("schema") == c("cs")))
-    missing = table_refs(tokens).join(known, on_table, "left_anti")
-    found = column_refs(tokens).join(missing, ["script_id", "stmt_no", "name"], "left_anti")
-    absent = found.join(cat, on_table & (F.lower("column") == c("cc")), "left_anti")
-    tables = missing.select(
-        "script_id", "stmt_no", F.lit("SCHEMA-001").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("table").alias("kind"),
-        "name", F.lit(None).cast("string").alias("column"),
-    )
-    columns = absent.select(
-        "script_id", "stmt_no", F.lit("SCHEMA-001").alias("rule_id"), F.lit("MEDIUM").alias("severity"), F.lit("column").alias("kind"), "name", "column"
+    table_in = cat.groupBy("ct").agg(F.collect_set("cs").alias("t_in"))
+    column_in = cat.groupBy("ct", "cc").agg(F.collect_set("cs").alias("c_in"))
+    as_column = F.transform("tables", lambda t: F.struct(t["name"].alias("name"), t["schema"].alias("schema"), F.lit(None).cast("string").alias("column")))
+    # tables and columns of a statement go the same way, so the tokens are read once
+    refs = _references(tokens).select("script_id", "stmt_no", F.explode(F.concat(as_column, "columns")).alias("r")).select("script_id", "stmt_no", "r.*")
+    looked = refs.withColumns({"ct": F.lower("name"), "cc": F.lower("column")}).join(table_in, "ct", "left").join(column_in, ["ct", "cc"], "left")
+    has = lambda n: F.coalesce(F.when(c("schema").isNull(), F.size(n) > 0).otherwise(F.array_contains(n, F.lower("schema"))), F.lit(False))
+    is_table = c("column").isNull()
+    unknown = F.max(is_table & ~has("t_in")).over(W.partitionBy("script_id", "stmt_no", "name"))
+    marked = looked.select("*", has("t_in").alias("t_known"), has("c_in").alias("c_known"), unknown.alias("unknown"))
+    found = marked.filter(F.when(is_table, ~c("t_known")).otherwise(~c("unknown") & ~c("c_known")))
+    kind, severity = F.when(is_table, "table").otherwise("column"), F.when(is_table, "HIGH").otherwise("MEDIUM")
+    return found.select(
+        "script_id", "stmt_no", F.lit("SCHEMA-001").alias("rule_id"), severity.alias("severity"), kind.alias("kind"), "name", "column"
     )
-    return tables.unionByName(columns)

@@ -34,3 +34,32 @@ def test_findings_are_never_sent_to_the_driver_whole(spark):
     frame = scripts_frame(spark, ["SELECT * FROM a, b"] * 40)
     for df in (lint.lint_corpus(frame), score.score_corpus(frame)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_references_read_the_tokens_once(spark):
+    from queryscope.plans.lineage import check_schema, column_refs
+
+    tokens = lint.annotate_scripts(scripts_frame(spark, ["SELECT o.id, x FROM orders o, Orders p; SELECT y", "SELECT O.a, b FROM s.t AS o"]))
+    catalog = spark.createDataFrame([("main", "orders", "id"), ("s", "t", "b")], "schema string, table string, column string")
+    for df in (column_refs(tokens), check_schema(tokens, catalog)):
+        assert _plan(df).count("regexp_extract_all") <= 4  # statements, and tokens by dialect
+    refs = {(r.script_id, r.name, r.column) for r in column_refs(tokens).collect()}
+    assert refs == {(0, "orders", "id"), (0, "orders", "x"), (1, "t", "a"), (1, "t", "b")}
+    found = {(r.script_id, r.kind, r.name, r.column) for r in check_schema(tokens, catalog).collect()}
+    assert found == {(0, "column", "orders", "x"), (1, "column", "t", "a")}
+
+
+def test_statements_are_cut_out_of_scripts_joined_once(spark):
+    from queryscope.plans.lineage import statement_at
+    from queryscope.plans.tokens import split_statements
+
+    scripts = scripts_frame(spark, ["﻿ SELECT 1; SELECT 2 ", "x"])
+    points = spark.createDataFrame([(0, 0), (0, 3), (0, 12), (0, 99), (1, 0)], "script_id long, off int")
+    df = statement_at(points, split_statements(scripts), scripts)
+    assert _plan(df).count("Join") == 3
+    got = {(r.script_id, r.off): (r.stmt_no, r.stmt) for r in df.collect()}
+    assert got[0, 3] == (1, "SELECT 1") and got[0, 12] == (2, "SELECT 2 ") and got[0, 99] == (None, "﻿ SELECT 1; SELECT 2 ") and got[1, 0] == (1, "x")
