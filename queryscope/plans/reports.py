@@ -29,7 +29,7 @@ def script_results(scripts: DataFrame, findings: DataFrame) -> DataFrame:
     count = lambda s: F.count_if(F.lower("severity") == s).alias(s)
     listed = findings.groupBy("script_id").agg(F.count(F.lit(1)).alias("total"), *[count(s) for s in SEVERITIES], F.array_sort(F.collect_list(own)).alias("findings"))
     kept = [c for c in ("script_id", "path", "dialect") if c in scripts.columns]
-    both = scripts.select(*kept).join(listed, "script_id", "left")
+    both = scripts.select(*kept).join(listed.hint("merge"), "script_id", "left")
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     result = F.struct(
         *[F.col(c) for c in kept if c != "script_id"], F.when(F.coalesce("total", F.lit(0)) > 0, "findings").otherwise("ok").alias("status"),

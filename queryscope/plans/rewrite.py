@@ -140,7 +140,7 @@ def rewrite_patches(scripts: DataFrame) -> DataFrame:
     t = _spanned(candidates)
     hits = F.array_compact(F.array(*[F.when(shape, F.struct(F.lit(rule).alias("rule_id"), *cols)) for rule, (shape, cols) in {r: v[1]() for r, v in _RULES.items()}.items()]))
     found = t.filter(c("utok").isin("=", "IN", "ORDER")).select("script_id", "stmt_no", F.explode(hits).alias("h")).select("script_id", "stmt_no", "h.*")
-    found = found.join(candidates.select("script_id", "sql"), "script_id")
+    found = found.join(candidates.select("script_id", "sql").hint("merge"), "script_id")
     raw = F.substring("sql", c("start_off") + 1, c("end_off") - c("start_off"))
     keys = ["script_id", "stmt_no", "rule_id", "negated"]
     found = _settled(found.select(*keys, "start_off", raw.alias("raw")), {"before": F.regexp_replace("raw", r"^\s+|\s+$", ""), "rest": F.regexp_replace("raw", r"^\s+", "")})
@@ -166,7 +166,7 @@ def apply_patches(scripts: DataFrame, patches: DataFrame) -> DataFrame:
         return within & F.when(e["start_off"] == e["end_off"], before & after).otherwise(before | after)
 
     edits = edits.select("script_id", F.filter("edits", lambda e: ~F.exists("edits", lambda o: inside(e, o))).alias("edits"))
-    joined = scripts.join(edits, "script_id", "left")
+    joined = scripts.join(edits.hint("merge"), "script_id", "left")
     start = F.struct(c("sql").alias("sql"), F.length("sql").alias("free"))
     kind = "struct<sql:string,free:int>"
 

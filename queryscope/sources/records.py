@@ -29,7 +29,7 @@ def append_usage(df: DataFrame, path: str, extras: tuple[str, ...] = ()) -> None
 def findings_audit_rows(findings: DataFrame, scripts: DataFrame, request_id: str, created_at) -> DataFrame:
     """Findings in stored form: the text by its short hash, gaps filled with defaults."""
     short = F.substring(F.sha2("sql", 256), 1, 16)
-    joined = findings.join(scripts.select("script_id", "dialect", short.alias("sql_hash")), "script_id")
+    joined = findings.join(scripts.select("script_id", "dialect", short.alias("sql_hash")).hint("merge"), "script_id")
     return joined.select(
         F.lit(request_id).alias("request_id"), "rule_id", F.coalesce("message", F.lit("")).alias("message"),
         F.coalesce("severity", F.lit("MEDIUM")).alias("severity"), F.coalesce("line", F.lit(1)).alias("line"), F.coalesce("col", F.lit(1)).alias("col"),

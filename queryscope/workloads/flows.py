@@ -103,7 +103,7 @@ def usage_log_round_trip(spark, sf_dir):
 )
 def findings_audit_rows(spark, sf_dir):
     scripts = C.corpus(spark, sf_dir)
-    rows = records.findings_audit_rows(lint.lint_corpus(scripts, dedup=False), scripts, "r1", 1700000000)
+    rows = records.findings_audit_rows(lint.lint_corpus(scripts), scripts, "r1", 1700000000)
     return rows.groupBy("rule_id", "severity", "dialect", "sql_hash", "request_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -111,7 +111,7 @@ def findings_audit_rows(spark, sf_dir):
 def query_findings(spark, sf_dir):
     scripts = C.corpus(spark, sf_dir)
     path = _folder(spark, "findings") + "/store"
-    records.append_findings(records.findings_audit_rows(lint.lint_corpus(scripts, dedup=False), scripts, "r1", 1700000000), path)
+    records.append_findings(records.findings_audit_rows(lint.lint_corpus(scripts), scripts, "r1", 1700000000), path)
     found = records.query_findings(spark, path, "SQL-SARG-001", "high")
     return found.groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
