@@ -42,12 +42,13 @@ def _scripts(spark, sf_dir):
     return C.corpus(spark, sf_dir)
 
 
-def _tokens(spark, sf_dir):
-    return lint.annotate_scripts(_scripts(spark, sf_dir))
+def _per_text(spark, sf_dir, work):
+    """What ``work`` reads off the annotated tokens of a text, for every script that holds it."""
+    return lint.per_text(_scripts(spark, sf_dir), lambda texts: work(lint.annotate_scripts(texts)))
 
 
 def _core(spark, sf_dir):
-    return lint.lint_corpus(_scripts(spark, sf_dir), lint.DEFAULT_RULES, dedup=False)
+    return lint.lint_corpus(_scripts(spark, sf_dir), lint.DEFAULT_RULES)
 
 
 # --- preparation ------------------------------------------------------------------------
@@ -213,7 +214,7 @@ _LIN = f"WITH {_CTE}, {_lineage_values()} "
 
 @query("table_refs", _LIN + "SELECT DISTINCT script_id, name FROM scripts JOIN lin USING (t)")
 def table_refs(spark, sf_dir):
-    return G.table_refs(_tokens(spark, sf_dir)).select("script_id", "name")
+    return _per_text(spark, sf_dir, G.table_refs).select("script_id", "name")
 
 
 def _column_values():
@@ -222,17 +223,17 @@ def _column_values():
 
 @query("column_refs", f"WITH {_CTE}, {_column_values()} SELECT script_id, name, col AS \"column\" FROM scripts JOIN cols USING (t)")
 def column_refs(spark, sf_dir):
-    return G.column_refs(_tokens(spark, sf_dir)).select("script_id", "name", "column")
+    return _per_text(spark, sf_dir, G.column_refs).select("script_id", "name", "column")
 
 
 @query("lineage", _LIN + "SELECT script_id, name, join_kind, problem FROM scripts JOIN lin USING (t)")
 def lineage(spark, sf_dir):
-    return G.lineage(_tokens(spark, sf_dir)).select("script_id", "name", "join_kind", "problem")
+    return _per_text(spark, sf_dir, G.lineage).select("script_id", "name", "join_kind", "problem")
 
 
 @query("table_usage", _LIN + "SELECT name, count(*) AS uses, count(*) FILTER (WHERE problem) AS problems FROM scripts JOIN lin USING (t) GROUP BY 1")
 def table_usage(spark, sf_dir):
-    return G.table_usage(G.lineage(_tokens(spark, sf_dir)))
+    return G.table_usage(_per_text(spark, sf_dir, G.lineage))
 
 
 @query(
@@ -240,7 +241,7 @@ def table_usage(spark, sf_dir):
     _LIN + "SELECT a.name AS left_name, b.name AS right_name, count(*) AS uses FROM scripts JOIN lin b USING (t) JOIN lin a ON a.t = b.t AND a.ord = b.ord - 1 WHERE b.join_kind <> 'FROM' GROUP BY 1, 2",
 )
 def join_pairs(spark, sf_dir):
-    return G.join_pairs(G.lineage(_tokens(spark, sf_dir)))
+    return G.join_pairs(_per_text(spark, sf_dir, G.lineage))
 
 
 def _stage_values():
@@ -256,7 +257,7 @@ _ST = f"WITH {_CTE}, {_stage_values()} "
 
 @query("query_stages", _ST + "SELECT script_id, stmt_no, kind, ord FROM scripts JOIN st USING (t)")
 def query_stages(spark, sf_dir):
-    return G.query_stages(_tokens(spark, sf_dir)).select("script_id", "stmt_no", "kind", "ord")
+    return _per_text(spark, sf_dir, G.query_stages).select("script_id", "stmt_no", "kind", "ord")
 
 
 @query(
@@ -264,7 +265,7 @@ def query_stages(spark, sf_dir):
     _ST + "SELECT script_id, stmt_no, kind AS source, target FROM (SELECT *, lead(kind) OVER (PARTITION BY script_id, stmt_no ORDER BY ord) AS target FROM scripts JOIN st USING (t)) WHERE target IS NOT NULL",
 )
 def stage_edges(spark, sf_dir):
-    return G.stage_edges(G.query_stages(_tokens(spark, sf_dir)))
+    return _per_text(spark, sf_dir, lambda t: G.stage_edges(G.query_stages(t)))
 
 
 def _fact_values():
@@ -280,7 +281,7 @@ _FACTS = f"WITH {_CTE}, {_fact_values()} "
 
 @query("operator_counts", _FACTS + "SELECT script_id, scans AS table_scans, filters, joins, aggs AS aggregates, projs AS projections FROM scripts JOIN facts USING (t)")
 def operator_counts(spark, sf_dir):
-    return G.operator_counts(_tokens(spark, sf_dir))
+    return _per_text(spark, sf_dir, G.operator_counts)
 
 
 _USAGE = "SELECT script_id, joins > 0 AS has_join, filters > 0 AS has_where, sorted AS has_orderby, aggs > 0 AS has_groupby, projs > 0 AS has_select FROM scripts JOIN facts USING (t)"
@@ -288,7 +289,7 @@ _USAGE = "SELECT script_id, joins > 0 AS has_join, filters > 0 AS has_where, sor
 
 @query("clause_usage", _FACTS + _USAGE)
 def clause_usage(spark, sf_dir):
-    return G.clause_usage(_tokens(spark, sf_dir))
+    return _per_text(spark, sf_dir, G.clause_usage)
 
 
 @query(
@@ -296,12 +297,12 @@ def clause_usage(spark, sf_dir):
     _FACTS + "SELECT " + ", ".join(f"count(*) FILTER (WHERE has_{n}) AS \"{n}\"" for n in ("join", "where", "orderby", "groupby", "select")) + f" FROM ({_USAGE})",
 )
 def clause_totals(spark, sf_dir):
-    return G.clause_totals(G.clause_usage(_tokens(spark, sf_dir)))
+    return G.clause_totals(_per_text(spark, sf_dir, G.clause_usage))
 
 
 @query("nesting_depth", f"WITH {_CTE} SELECT script_id, CAST(x_depth AS INTEGER) AS depth FROM scripts")
 def nesting_depth(spark, sf_dir):
-    return G.nesting_depth(_tokens(spark, sf_dir))
+    return _per_text(spark, sf_dir, G.nesting_depth)
 
 
 def _missing_values():
@@ -319,7 +320,8 @@ def _catalog(spark, sf_dir):
 
 @query("check_schema", f"WITH {_CTE}, {_missing_values()} SELECT script_id, 'SCHEMA-001' AS rule_id, severity, kind, name, col AS \"column\" FROM scripts JOIN miss USING (t)")
 def check_schema(spark, sf_dir):
-    return G.check_schema(_tokens(spark, sf_dir), _catalog(spark, sf_dir)).drop("stmt_no")
+    catalog = _catalog(spark, sf_dir)
+    return _per_text(spark, sf_dir, lambda t: G.check_schema(t, catalog)).drop("stmt_no").select("script_id", "rule_id", "severity", "kind", "name", "column")
 
 
 @query(
@@ -335,7 +337,7 @@ def catalog_rows(spark, sf_dir):
 def _register_rule(name, rules, src, rule_id):
     @query(name, _WITH + _RULE_COUNTS.format(src=f"(SELECT * FROM {src} WHERE rule_id = '{rule_id}')"))
     def run(spark, sf_dir, rules=rules):
-        return _counts(lint.lint_corpus(_scripts(spark, sf_dir), rules, dedup=False))
+        return _counts(lint.lint_corpus(_scripts(spark, sf_dir), rules))
 
 
 for _name, _rule in zip(("cartesian", "sargable", "not_in", "nested_sort", "nested_star", "join_cast", "leading_wildcard", "malformed"), lint.DEFAULT_RULES):
@@ -359,12 +361,12 @@ def lint_incremental(spark, sf_dir):
 
 @query("pattern_rules", _WITH + "SELECT script_id, rule_id, severity, count(*) AS n FROM (SELECT * FROM found WHERE rule_id IN ('SQL-LIKE-001', 'SQL-NOTIN-001') UNION ALL SELECT * FROM pro WHERE rule_id = 'SQL-WILD-001') GROUP BY 1, 2, 3")
 def pattern_rules(spark, sf_dir):
-    return _counts(patterns.find_patterns(_tokens(spark, sf_dir), patterns.PATTERNS))
+    return _counts(_per_text(spark, sf_dir, lambda t: patterns.find_patterns(t, patterns.PATTERNS)))
 
 
 @query("lint_pro", _WITH + "SELECT script_id, rule_id, severity, count(*) AS n, count(*) FILTER (WHERE rule_id = 'SQL-SARG-001' AND t IN (9, 12, 29)) AS fixable FROM pro GROUP BY 1, 2, 3")
 def lint_pro(spark, sf_dir):
-    found = lint.lint_corpus(_scripts(spark, sf_dir), lint.PRO_RULES, dedup=False)
+    found = lint.lint_corpus(_scripts(spark, sf_dir), lint.PRO_RULES)
     return found.groupBy("script_id", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_if("fixable").alias("fixable"))
 
 
@@ -395,7 +397,7 @@ _CREDITS = "CASE " + " ".join(f"WHEN {v} >= greatest(n, 0) THEN {v}" for _, v in
     f"{_SIZE} AS warehouse, {_CREDITS} AS credits_per_hour, {_CREDITS} * 3.0 AS usd_per_hour FROM (SELECT *, x_tables AS n FROM scripts)",
 )
 def cloud_cost(spark, sf_dir):
-    return S.cloud_cost(S.table_counts(_tokens(spark, sf_dir)))
+    return _per_text(spark, sf_dir, lambda t: S.cloud_cost(S.table_counts(t)))
 
 
 _W = "CASE severity WHEN 'LOW' THEN 1.0::DOUBLE WHEN 'MEDIUM' THEN 2.0 WHEN 'HIGH' THEN 3.5 ELSE 6.0 END"
@@ -410,8 +412,7 @@ _U = "CASE rule_id WHEN 'SQL-CART-001' THEN 3.0::DOUBLE WHEN 'SQL-SARG-001' THEN
     f"LEFT JOIN (SELECT script_id, max({_W}) AS worst, sum(({_U}) * ({_W})) AS units FROM found GROUP BY 1) f ON f.script_id = s.script_id))",
 )
 def finops(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
-    return S.finops(lint.find(t), S.table_counts(t))
+    return _per_text(spark, sf_dir, lambda t: S.finops(lint.find(t), S.table_counts(t)))
 
 
 @query(
@@ -429,8 +430,8 @@ def rule_cost_breakdown(spark, sf_dir):
     + ", (SELECT CAST(max(x_score) AS INTEGER) FROM scripts) AS max_risk_score, 'CRITICAL' AS max_risk_level, count(*) FILTER (WHERE severity = 'CRITICAL') > 0 AS has_critical FROM found",
 )
 def run_summary(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
-    return S.run_summary(_scripts(spark, sf_dir), lint.find(t), S.risk_score(t))
+    scripts = _scripts(spark, sf_dir)
+    return S.run_summary(scripts, lint.lint_corpus(scripts), S.score_corpus(scripts))
 
 
 @query(
@@ -438,8 +439,8 @@ def run_summary(spark, sf_dir):
     _WITH + "SELECT 1 AS exit_code, count(*) AS issues_found, true AS has_critical, 100 AS risk_score FROM found WHERE severity IN ('HIGH', 'CRITICAL')",
 )
 def quality_gate(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
-    return S.quality_gate(lint.find(t), S.risk_score(t), min_severity="high", fail_on="critical")
+    scripts = _scripts(spark, sf_dir)
+    return S.quality_gate(lint.lint_corpus(scripts), S.score_corpus(scripts), min_severity="high", fail_on="critical")
 
 
 @query("health_score", _WITH + "SELECT CAST(100 - least(sum(CASE severity WHEN 'CRITICAL' THEN 25 WHEN 'HIGH' THEN 18 WHEN 'MEDIUM' THEN 9 ELSE 0 END), 50) AS INTEGER) AS health, 'D' AS letter, 'F' AS gauge, 'CRITICAL RISK' AS tier FROM found")
@@ -523,8 +524,8 @@ def with_education(spark, sf_dir):
     "UNION ALL SELECT script_id, kind, 'CRITICAL' FROM scripts JOIN st USING (t) WHERE t = 29",
 )
 def nearest_finding(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
-    return S.nearest_finding(G.query_stages(t), lint.find(t)).select("script_id", "kind", "severity")
+    stages = _per_text(spark, sf_dir, G.query_stages)
+    return S.nearest_finding(stages, _core(spark, sf_dir)).select("script_id", "kind", "severity")
 
 
 # --- rewrites ------------------------------------------------------------------------------
@@ -558,6 +559,8 @@ def rewrite_patches(spark, sf_dir):
     f"(SELECT script_id, {_PATCHES} AS fixed FROM scripts) s LEFT JOIN (SELECT script_id, count(*) AS n FROM found GROUP BY 1) f ON f.script_id = s.script_id",
 )
 def validate_rewrites(spark, sf_dir):
-    scripts = _scripts(spark, sf_dir)
-    after = lint.lint_corpus(rewrite.rewrite_corpus(scripts)[0], dedup=False)
-    return S.validate_rewrites(_core(spark, sf_dir), after, scripts)
+    def work(texts):
+        after = lint.lint_corpus(rewrite.rewrite_corpus(texts)[0], dedup=False)
+        return S.validate_rewrites(lint.lint_corpus(texts, dedup=False), after, texts)
+
+    return lint.per_text(_scripts(spark, sf_dir), work)
