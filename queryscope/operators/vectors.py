@@ -19,36 +19,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# rows of a block: at 64 floats each about 1 MB of queries and 16 MB of index per cell
-QUERY_BLOCK, INDEX_BLOCK = 2048, 32_768
+# rows of a block: each side is repeated for every block of the other, so equal blocks shuffle least;
+# at 64 floats each 4 MB a side and cell
+QUERY_BLOCK, INDEX_BLOCK = 16_384, 16_384
+SCORES = 2_000_000  # of a cell that are held at once, a slice of its queries against all of its index rows
 # centroids are trained on at most so many rows of the index, chosen by a hash of the id
 SAMPLE, ROUNDS = 65_536, 8
 
 
-def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
+def _usable(df: DataFrame, key: str, vector: str, narrow: bool = False) -> DataFrame:
+    """(id, v) of the rows with a whole vector; ``narrow`` leaves floats as they are, which halves what is shuffled."""
     whole = F.col(key).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())
-    return df.filter(whole).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    kind = "array<float>" if narrow and df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    return df.filter(whole).select(F.col(key).alias("id"), F.col(vector).cast(kind).alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Unit vectors of a column of equally long lists; a zero vector stays zero."""
     lists = column.combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    rows = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    rows = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(lists), -1)
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
 
 def best_of_cell(queries: pa.Table, index: pa.Table, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, index row, score) of the k best of each query among the rows of a cell, and of all that tie with the last of them."""
-    q, found, step = _matrix(queries["v"]), [], max(1, 8_000_000 // max(1, len(queries)))
-    rows = _matrix(index["v"])
-    for start in range(0, len(rows), step):
-        score = np.round(q @ rows[start:start + step].T, 12)
-        least = np.full(len(q), threshold)
+    q, rows, found = _matrix(queries["v"]), _matrix(index["v"]), []
+    step = max(1, SCORES // max(1, len(rows)))
+    for start in range(0, len(q), step):
+        score = np.round(q[start:start + step] @ rows.T, 12)
+        least = np.full(len(score), threshold)
         if score.shape[1] > k:
             least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k])
         i, j = np.nonzero(score >= least[:, None])
-        found.append((i, j + start, score[i, j]))
+        found.append((i + start, j, score[i, j]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -89,7 +93,7 @@ def vector_topk(
     Exact at any size. Every query block meets every index block in one cell of the
     grid; a cell keeps k rows per query, so what is ranked at the end is k rows per query and column.
     """
-    q, i = _usable(queries, query_id, vector), _usable(index, index_id, vector)
+    q, i = _usable(queries, query_id, vector, narrow=True), _usable(index, index_id, vector, narrow=True)
     rows = _blocks(q.count(), query_block)
     columns = max(_blocks(i.count(), index_block), _blocks(queries.sparkSession.sparkContext.defaultParallelism, rows))
     dim = F.size("v").alias("dim")

@@ -1,5 +1,6 @@
 """Vector search: every grid against a plain product, odd rows, and the recall of the stored lists."""
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from queryscope.operators import vectors as V
@@ -76,3 +77,20 @@ def test_list_of_a_dimension_the_sample_missed(spark, tmp_path):
     V.build_lists(index, f"{tmp_path}/lists", sample=1)
     queries = spark.createDataFrame([("a", [1.0, 1.0, 1.0]), ("b", [1.0, 5.0])], "query_id string, embedding array<double>")
     assert got(V.search_lists(spark, f"{tmp_path}/lists", queries)) == {("a", 99, 1), ("b", 5, 1)}
+
+
+def test_a_full_cell_holds_few_scores_and_floats_stay_floats(spark):
+    import tracemalloc
+
+    rnd = np.random.default_rng(5)
+    side = lambda n: pa.table({"id": pa.array(range(n)), "v": pa.array(list(rnd.standard_normal((n, 8)).astype(np.float32)), pa.list_(pa.float32()))})
+    queries, index = side(2048), side(16_384)
+    tracemalloc.start()
+    i, j, score = V.best_of_cell(queries, index, 3, 0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(i) == 3 * 2048 and sorted(set(np.diff(i).tolist())) == [0, 1] and peak < 100e6
+    e = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    assert "array<double>" not in V._usable(e, "vec_id", "embedding", narrow=True).schema.simpleString()
+    # a side is repeated once per block of the other: equal blocks shuffle the least
+    assert V.QUERY_BLOCK == V.INDEX_BLOCK
