@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 128
+SPLITS = 4  # files that share a bucket's grams by the key; fixed, so no rows are sampled to find ranges
 PROBES = 3  # grams whose lists are intersected; more lists cost more than the checks they save
 
 
@@ -36,8 +37,9 @@ def append_segment(df: DataFrame, key: str, column: str, path: str) -> str:
     """Index the rows of ``df`` as a new segment; returns its name. Existing segments stay as they are."""
     name = uuid.uuid4().hex
     grams = df.select(F.col(key).alias("key"), F.explode(trigrams(F.col(column))).alias("gram")).withColumn("bucket", _bucket(F.col("gram")))
-    # a gram that most texts have is split over files by the key; each file is sorted, so its statistics tell its grams
-    dealt = grams.repartitionByRange("bucket", "gram", "key").sortWithinPartitions("bucket", "gram", "key")
+    # a gram that most texts have is split over files by the key; each file is sorted, so its statistics tell its grams;
+    # ranges would need a sample, for which the grams of all texts are made a second time
+    dealt = grams.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(SPLITS))).sortWithinPartitions("bucket", "gram", "key")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings/segment={name}")
     spark = df.sparkSession
     postings = spark.read.schema(_schema(df.schema[key].dataType)).parquet(f"{path}/postings/segment={name}")

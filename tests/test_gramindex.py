@@ -51,3 +51,16 @@ def test_odd_rows(spark, tmp_path):
     assert sorted((r.k, len(r.t)) for r in G.search(df, "k", "t", "abcd", f"{tmp_path}/g").collect()) == [(1, 6), (5, 200_004), (6, 6)]
     G.build_index(df.limit(0), "k", "t", f"{tmp_path}/e")
     assert G.search(df.limit(0), "k", "t", "abcd", f"{tmp_path}/e").count() == 0
+
+
+def test_the_grams_of_a_text_are_made_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    rows = spark.range(50).select(F.col("id"), read(F.concat(F.lit("abcdef"), F.col("id"))).alias("t"))
+    G.append_segment(rows, "id", "t", str(tmp_path / "grams"))
+    assert seen.value == 50
