@@ -62,7 +62,7 @@ class ChunkTokenizer:
         self.marks = {"": b""}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words of plain letters: the last id of each is one with a word end."""
@@ -78,8 +78,11 @@ class ChunkTokenizer:
         return out
 
     def _encode(self, chunks: list[str]) -> None:
-        plain, rest = [], []
+        plain, rest, bare = [], [], []
         for c in chunks:
+            if c.isascii() and c.isalpha():
+                bare.append(c)
+                continue
             right = c.rstrip(self.MARKS)
             word = right.lstrip(self.MARKS)
             lower = word.lower()
@@ -90,17 +93,27 @@ class ChunkTokenizer:
                 rest.append(c)
         unknown = list({m for _, a, _, z in plain for m in (a, z) if m not in self.marks})
         self.marks.update(zip(unknown, self._whole(unknown)))
-        ids = self._words(list({w for _, _, w, _ in plain}))
+        lowered = [c.lower() for c in bare]
+        ids = self._words(list({*lowered, *(w for _, _, w, _ in plain)}))
+        self.young.update(zip(bare, map(ids.__getitem__, lowered)))
         self.young.update((c, self.marks[a] + ids[w] + self.marks[z]) for c, a, w, z in plain)
         self.young.update(zip(rest, self._whole(rest)))
 
     def _known(self, chunks: list[str]) -> list[bytes]:
         """Ids of different chunks."""
         young, old = self.young, self.old
-        missing = [c for c in chunks if c not in young]
-        young.update((c, old[c]) for c in missing if c in old)
-        self._encode([c for c in missing if c not in young])
-        found = [young[c] for c in chunks]
+        found = list(map(young.get, chunks))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        unseen = []
+        for i in missing:
+            ids = old.get(chunks[i])
+            if ids is None:
+                unseen.append(chunks[i])
+            else:
+                young[chunks[i]] = ids
+        self._encode(unseen)
+        for i in missing:
+            found[i] = young[chunks[i]]
         if len(young) > REMEMBERED:
             self.young, self.old = {}, young
         return found
@@ -111,7 +124,7 @@ class ChunkTokenizer:
 
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = lists.flatten().dictionary_encode()
-        at, found = words.indices.to_numpy(), self._known(words.dictionary.to_pylist())
+        at, found = words.indices.to_numpy(), self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
         each = sizes[at]

@@ -63,6 +63,24 @@ def test_chunks_give_the_library_ids(library):
             assert got.tolist() == library.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_known_chunks_are_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def _count(name):
+            def ask(self, *args):
+                Counted.asked += 1
+                return getattr(dict, name)(self, *args)
+            return ask
+
+        get, __contains__, __getitem__ = _count("get"), _count("__contains__"), _count("__getitem__")
+
+    tok, chunks = token_files.ChunkTokenizer(vocabulary()), ["word", "Word", "(word)", "naïve", "x1"]
+    first = tok._known(chunks)
+    tok.young = Counted(tok.young)
+    assert tok._known(chunks) == first and Counted.asked == len(chunks)
+
+
 def test_odd_rows(spark, library, monkeypatch):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(-5, "minus"), (2**40, "far")]
     df = spark.createDataFrame([(t, k, 1) for k, t in rows] + [("none one", None, 1)], "text string, doc_id long, start int").repartition(4)
