@@ -170,13 +170,21 @@ def _crossed(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.join(sets, "node").groupBy("key", "i", "j").applyInArrow(work, "a long, b long")
 
 
+def unlike_buckets(grouped: DataFrame) -> DataFrame:
+    """Keys of the buckets (key, node, g) that hold several groups; of buckets with the same members, as near copies make in many bands, one."""
+    who = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"who{i}") for i in range(2)]
+    several = grouped.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count(F.lit(1)).alias("size"), *who).filter("low <> high")
+    return several.groupBy("size", "who0", "who1").agg(F.min("key").alias("key")).select("key")
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) of every row; the component is the smallest key that links reach."""
     numbered = stored(sketches(docs, key, text, words), "sketches", compression="zstd")
     classes = numbered.filter("n > 0").groupBy("h0", "h1").agg(F.min("row").alias("node"), F.min("k").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = stored(classes, "set-classes")
 
-    slots = classes.select("node", "n", F.explode("keys").alias("key"))
+    # dealt by key once, for the buckets' heads and for their members
+    slots = classes.select("node", "n", F.explode("keys").alias("key")).repartition("key")
     heads = slots.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("hashes")).filter("members > 1")
     slots = stored(slots.join(heads, "key"), "buckets")
     wanted = slots.select("node").distinct().withColumnRenamed("node", "row")
@@ -188,7 +196,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     roots = components(first, "first-stars")
 
     grouped = slots.join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").withColumn("g", F.coalesce("root", "node"))
-    several = grouped.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("key")
+    several = unlike_buckets(grouped.filter("members > 2"))
     open_rows = grouped.filter("members > 2").join(several, "key", "left_semi").select("key", "node", "n", "g", "members", "hashes")
     more = stored(_crossed(open_rows, sets, percent), "more-links")
     if not more.isEmpty():

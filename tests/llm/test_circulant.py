@@ -116,3 +116,9 @@ def test_representatives(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, ROW int").write.parquet(f"{tmp_path}/d")
     kept = C.representatives(spark.read.parquet(f"{tmp_path}/d"))
     assert kept.columns == ["doc_id", "text", "ROW"] and kept.count() == 4 and {r.ROW for r in kept.collect()} >= {3, 4, 6}
+
+
+def test_buckets_with_the_same_members_are_compared_once(spark):
+    rows = [(key, node, g) for key in (1, 2, 3) for node, g in ((10, 10), (11, 10), (12, 12))] + [(4, 10, 10), (4, 11, 10), (4, 13, 13)] + [(5, n, 10) for n in (10, 11, 14)]
+    got = C.unlike_buckets(spark.createDataFrame(rows, "key long, node long, g long"))
+    assert sorted(r.key for r in got.collect()) == [1, 4]
