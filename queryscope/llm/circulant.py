@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from queryscope.llm.common import stored, unused
 from queryscope.llm.components import components
 from queryscope.llm.simhash import shingle_hashes
+from queryscope.llm.urls import passing
 
 BANDS, ROWS = 30, 5
 # a block holds about so many sets or hashes; two blocks are compared in one task
@@ -177,6 +178,12 @@ def unlike_buckets(grouped: DataFrame) -> DataFrame:
     return several.groupBy("size", "who0", "who1").agg(F.min("key").alias("key")).select("key")
 
 
+def wanted_texts(numbered: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, t) of the rows that ``wanted`` (row) names; a filter keeps most texts of the others out of the shuffle."""
+    texts = passing(numbered.select("row", "t"), "row", wanted, "row")
+    return texts.join(wanted, "row", "left_semi").select(F.col("row").alias("node"), "t")
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) of every row; the component is the smallest key that links reach."""
     numbered = stored(sketches(docs, key, text, words), "sketches", compression="zstd")
@@ -187,8 +194,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     slots = classes.select("node", "n", F.explode("keys").alias("key")).repartition("key")
     heads = slots.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("hashes")).filter("members > 1")
     slots = stored(slots.join(heads, "key"), "buckets")
-    wanted = slots.select("node").distinct().withColumnRenamed("node", "row")
-    sets = stored(sets_of(numbered.join(wanted, "row", "left_semi").select(F.col("row").alias("node"), "t"), words), "sets")
+    wanted = stored(slots.select(F.col("node").alias("row")).distinct(), "wanted")
+    sets = stored(sets_of(wanted_texts(numbered, wanted), words), "sets")
 
     near = (F.lit(100) * F.least("n", "head.n") >= F.lit(percent) * F.greatest("n", "head.n")) & (F.col("node") != F.col("head.node"))
     pairs = slots.filter(near).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()

@@ -139,6 +139,13 @@ def _tokenizer(path: str) -> ChunkTokenizer:
     return _workers[path]
 
 
+def _forget() -> None:
+    """Drop the tokenizers of this Python worker: Spark goes on with the same workers, and their chunks would stay until the application ends."""
+    if _workers:
+        _workers.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def _runs(texts: pa.Array, most: int = 6_000_000):
     """(first, after last) of runs of texts of bounded size."""
     import pyarrow.compute as pc
@@ -189,9 +196,10 @@ def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
 
 
 def count_ids(blocks: DataFrame) -> DataFrame:
-    """(id, n) over all blocks; each task adds up before the shuffle."""
+    """(id, n) over all blocks; each task adds up before the shuffle. It follows the tokenizing, so its tasks give that memory back."""
 
     def work(batches):
+        _forget()
         total = np.zeros(0, np.int64)
         for b in batches:
             for width, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -122,3 +122,12 @@ def test_buckets_with_the_same_members_are_compared_once(spark):
     rows = [(key, node, g) for key in (1, 2, 3) for node, g in ((10, 10), (11, 10), (12, 12))] + [(4, 10, 10), (4, 11, 10), (4, 13, 13)] + [(5, n, 10) for n in (10, 11, 14)]
     got = C.unlike_buckets(spark.createDataFrame(rows, "key long, node long, g long"))
     assert sorted(r.key for r in got.collect()) == [1, 4]
+
+
+def test_texts_of_others_stay_out_of_the_shuffle(spark):
+    numbered = spark.range(3000).selectExpr("id AS row", "concat('text ', id) AS t")
+    wanted = spark.range(0, 3000, 30).withColumnRenamed("id", "row")
+    found = C.wanted_texts(numbered, wanted)
+    assert sorted(map(tuple, found.collect())) == [(i, f"text {i}") for i in range(0, 3000, 30)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan and plan.index("LeftSemi") < plan.index("bit_or")

@@ -118,3 +118,20 @@ def test_query_over_table(spark, sf, library):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
     got = [tuple(r) for r in queries.QUERIES["op5_token_files"](spark, sf).orderBy("start").collect()]
     assert got == plain(rows, library)
+
+
+def test_workers_give_the_tokenizer_back(spark):
+    """Later steps run in the same Python workers, which must not keep the remembered chunks."""
+
+    def held(batches):
+        from queryscope.llm import token_files as module
+
+        kept = sum(1 + len(t.young) + len(t.old) for t in module._workers.values())
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([kept] * b.num_rows, pa.int64())], names=["kept"])
+
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('word', id, ' and more') AS text")
+    blocks = token_files.stored(token_files.tokenize(docs, vocabulary(), block_tokens=100), "test-blocks")
+    counts = token_files.count_ids(blocks.repartition(200))
+    assert counts.selectExpr("sum(n)").first()[0] > 4000
+    assert spark.range(200).repartition(200).mapInArrow(held, "kept long").selectExpr("sum(kept)").first()[0] == 0

@@ -54,3 +54,13 @@ def test_filter_errors_never_show(spark):
 
 def test_empty_tables(spark):
     assert judged(spark, [], ["http://a.com"]) == []
+
+
+def test_filter_passes_what_is_listed_and_few_others(spark):
+    rows = spark.range(20_000).selectExpr("id", "concat('t', id) AS t")
+    listed = spark.range(0, 20_000, 20).withColumnRenamed("id", "wanted")
+    got = urls.passing(rows, "id", listed, "wanted")
+    kept = {r.id for r in got.collect()}
+    assert got.columns == ["id", "t"] and kept >= set(range(0, 20_000, 20)) and len(kept) < 1100
+    assert urls.passing(rows, "id", listed.limit(0), "wanted").count() == 0
+    assert urls.passing(rows, "id", listed, "wanted", max_blocks=1).filter("id % 20 = 0").count() == 1000
